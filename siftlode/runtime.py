@@ -13,10 +13,12 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def session(app: str = "siftlode", cores: str = "*", **conf: object) -> SparkSession:
@@ -57,8 +59,28 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once an application; needed where it is not installed there."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="siftlode-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "siftlode.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(path)
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A driver table, one Parquet file or folder per name."""
+    """A driver table, one Parquet file or folder per name. The first call of an application ships this package."""
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
