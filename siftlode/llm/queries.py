@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftlode.llm import knn, leakage, neardup, tokens
+from siftlode.llm import credentials, knn, leakage, neardup, parsing, provenance, splitting, stuffing, tokens
 from siftlode.runtime import table
 
 
@@ -20,10 +20,48 @@ def p2_classes(spark, sf_dir):
     return members.join(ends, "rep", "left").select(F.col("id").alias("vec_id"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p3_found(spark, sf_dir):
+    """Files that are not valid in the language of their row."""
+    return parsing.flag_files(table(spark, sf_dir, "files")).where("not valid").select("project", "rel_path").distinct()
+
+
+def p3_rates(spark, sf_dir):
+    return parsing.invalid_rates(parsing.flag_files(table(spark, sf_dir, "files")))
+
+
+def p4_found(spark, sf_dir):
+    """Lines of stored chunks where a credential literal begins."""
+    found = credentials.find_credentials(table(spark, sf_dir, "vector_documents"))
+    return found.select("vec_id", F.explode("lines").alias("line_no")).distinct()
+
+
+def p4_redacted(spark, sf_dir):
+    """All stored chunks, their credentials masked."""
+    return credentials.redact(table(spark, sf_dir, "vector_documents")).select("vec_id", "content")
+
+
 def p5_found(spark, sf_dir):
     return knn.similar_pairs(table(spark, sf_dir, "vector_documents"))
 
 
+def p6_found(spark, sf_dir):
+    """Files nobody in the project wrote."""
+    return provenance.label_files(table(spark, sf_dir, "vector_documents")).where("label <> 'handwritten'").select("project", "relative_path")
+
+
+def p6_labels(spark, sf_dir):
+    return provenance.label_files(table(spark, sf_dir, "vector_documents")).select("project", "relative_path", "label")
+
+
+def p7_found(spark, sf_dir):
+    return splitting.find_boundaries(table(spark, sf_dir, "code_chunks"))
+
+
+def p7_pieces(spark, sf_dir):
+    """All chunks in pieces of at most 2,500 characters with an overlap of 300."""
+    return splitting.split_chunks(table(spark, sf_dir, "code_chunks"))
+
+
 def p8_ids(spark, sf_dir):
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -38,8 +76,21 @@ def p9_items(spark, sf_dir):
     return leaks.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("coverage").alias("coverage"))
 
 
+def p10_found(spark, sf_dir):
+    return stuffing.stuffed_pages(table(spark, sf_dir, "documents"))
+
+
+def p10_hosts(spark, sf_dir):
+    """Of each host: its pages, its stuffed pages and its smoothed rate."""
+    pages = stuffing.score_pages(table(spark, sf_dir, "documents"))
+    return pages.groupBy("source").agg(F.count("*").alias("pages"), F.sum(F.when(F.col("score") > 0, 1).otherwise(0)).alias("stuffed"), F.round(F.max("host_rate"), 6).alias("host_rate"))
+
+
+_QUERIES = (p2_found, p2_classes, p3_found, p3_rates, p4_found, p4_redacted, p5_found, p6_found, p6_labels, p7_found, p7_pieces, p8_ids, p9_found, p9_items, p10_found, p10_hosts)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_classes, p5_found, p8_ids, p9_found, p9_items)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
