@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from siftlode.plans import changes
+from siftlode.plans import changes, chunks, graphs, retrieval, syncing
 
-FLAGSHIP = "p1_found"
-_MODULES = (changes,)
+FLAGSHIP = "hybrid_rrf"
+_MODULES = (changes, retrieval, chunks, syncing, graphs)
 
 
 def queries() -> dict:
