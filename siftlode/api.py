@@ -32,7 +32,7 @@ class Engine:
     def index(self, root: str, project: str | None = None, extensions: list[str] | None = None, ignore: list[str] | None = None, splitter: str = "definitions", most: int = 450_000) -> dict:
         """Index a folder anew; gives the status and the counts. A project is replaced as a whole, last its states."""
         project = project or files.repository_identity(root)
-        rules = files.ignore_patterns(self.spark, root) + list(ignore or [])
+        rules = files.ignore_patterns(root) + list(ignore or [])
         found = cut(files.scan(self.spark, root, extensions, rules), "files")
         rows = cut(self._rows(found, project, splitter), "rows")
         total = rows.count()
@@ -60,7 +60,7 @@ class Engine:
         name = self._name(project)
         if not self.catalog.has(name):
             return self.index(root, project, extensions, ignore, splitter)
-        found = cut(files.scan(self.spark, root, extensions, files.ignore_patterns(self.spark, root) + list(ignore or [])), "files")
+        found = cut(files.scan(self.spark, root, extensions, files.ignore_patterns(root) + list(ignore or [])), "files")
         now = files.file_states(found)
         before = self.spark.read.parquet(f"{self.home}/states/{name}")
         changes = cut(sync.file_diff(before, now), "changes")

@@ -55,11 +55,14 @@ class CollectionCatalog:
 
     def insert(self, name: str, rows: DataFrame, dimension: int | None = None) -> None:
         """Append checked rows: texts within their limits, vectors of one length."""
-        checks = [F.assert_true(F.coalesce(F.length(c), F.lit(0)) <= n, f"{c} is longer than {n}").alias(f"__{c}") for c, n in LIMITS.items()]
+        problem = F.lit(None).cast("string")
+        for c, n in LIMITS.items():
+            problem = F.coalesce(problem, F.when(F.length(c) > n, F.lit(f"{c} is longer than {n}")))
         if dimension:
-            checks.append(F.assert_true(F.size("vector") == dimension, f"a vector is not of length {dimension}").alias("__dim"))
+            problem = F.coalesce(problem, F.when(F.coalesce(F.size("vector"), F.lit(-1)) != dimension, F.lit(f"a vector is not of length {dimension}")))
         cols = [c.split()[0] for c in SCHEMA.split(", ")]
-        rows.select(*cols, *checks).select(*cols).write.mode("append").partitionBy("project").parquet(self._path(name))
+        checked = F.when(problem.isNull(), F.col("id")).otherwise(F.raise_error(problem))
+        rows.withColumn("id", checked).select(*cols).write.mode("append").partitionBy("project").parquet(self._path(name))
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Put ``rows`` in the place of all rows of the projects in it."""

@@ -44,13 +44,14 @@ def infrastructure(files: DataFrame, path_col: str = "path") -> DataFrame:
     return files.where(text.is_dockerfile(F.col(path_col)) | p.rlike(rf"(?:^|/)[^/]*{folders}[^/]*/.*\.ya?ml$"))
 
 
-def ignore_patterns(spark: SparkSession, root: str) -> list[str]:
+def ignore_patterns(root: str) -> list[str]:
     """The patterns of the ignore files in a folder, in order, without comments and blanks."""
     found: list[str] = []
     for name in sorted(os.listdir(root)):
         if name.startswith(".") and name.endswith("ignore") and os.path.isfile(os.path.join(root, name)):
-            lines = spark.read.text(os.path.join(root, name)).select(F.trim("value").alias("v")).where("v <> '' and not v like '#%'")
-            found += [r["v"] for r in lines.collect()]
+            with open(os.path.join(root, name), encoding="utf-8") as f:  # Spark's readers pass over dot files
+                lines = [line.strip() for line in f]
+            found += [line for line in lines if line and not line.startswith("#")]
     return list(dict.fromkeys(found))
 
 

@@ -10,25 +10,30 @@ from pyspark.sql import functions as F
 from siftlode.runtime import shared_dir
 
 
-def tumbling(events: DataFrame, width: str = "1 hour", late: str = "2 hours", time_col: str = "ts") -> DataFrame:
+def _marked(events: DataFrame, time_col: str, late: str | None) -> DataFrame:
+    """With a watermark, unless ``late`` is None because one was set before (a stream may have only one)."""
+    return events if late is None else events.withWatermark(time_col, late)
+
+
+def tumbling(events: DataFrame, width: str = "1 hour", late: str | None = "2 hours", time_col: str = "ts") -> DataFrame:
     """(window_start, event_type, n, total): counts of fixed windows; rows later than ``late`` are dropped in a stream."""
     w = F.window(time_col, width)
-    return events.withWatermark(time_col, late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+    return _marked(events, time_col, late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
-def sliding(events: DataFrame, width: str = "1 hour", step: str = "30 minutes", late: str = "2 hours", time_col: str = "ts") -> DataFrame:
+def sliding(events: DataFrame, width: str = "1 hour", step: str = "30 minutes", late: str | None = "2 hours", time_col: str = "ts") -> DataFrame:
     w = F.window(time_col, width, step)
-    return events.withWatermark(time_col, late).groupBy(w.alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "n")
+    return _marked(events, time_col, late).groupBy(w.alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "n")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours", key: str = "user_id", time_col: str = "ts") -> DataFrame:
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "2 hours", key: str = "user_id", time_col: str = "ts") -> DataFrame:
     """(key, session_start, session_end, n): runs of events of one key closer than ``gap``."""
     w = F.session_window(time_col, gap)
-    return events.withWatermark(time_col, late).groupBy(key, w.alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+    return _marked(events, time_col, late).groupBy(key, w.alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def distinct_events(events: DataFrame, late: str = "2 hours", key: str = "event_id", time_col: str = "ts") -> DataFrame:
-    return events.withWatermark(time_col, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+def distinct_events(events: DataFrame, late: str | None = "2 hours", key: str = "event_id", time_col: str = "ts") -> DataFrame:
+    return _marked(events, time_col, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

@@ -27,7 +27,7 @@ def test_engine(spark, tmp_path):
     engine = Engine(spark, f"file://{tmp_path}/home")
     done = engine.index(str(root), "demo")
     assert done["indexed_files"] == 3 and done["status"] == "completed" and done["total_chunks"] >= 3
-    hits = engine.search("demo", "validate user password", 5).collect()
+    hits = engine.search("demo", "validateUser hashPassword", 5).collect()
     assert hits[0]["relative_path"] == "src/auth.ts" and [h["rank"] for h in hits] == sorted(h["rank"] for h in hits)
     assert {h["relative_path"] for h in engine.search("demo", "login", 5, extensions=[".md"]).collect()} == {"notes.md"}
     assert {r.name for r in engine.graph.find("demo", name="password").collect()} == {"hashPassword"}
@@ -61,7 +61,7 @@ def test_stream_equals_batch_and_drops_repeats(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id long, t string, user_id long, event_type string, value double").select("event_id", F.to_timestamp("t").alias("ts"), "user_id", "event_type", "value")
     df.unionByName(df.limit(10)).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    live = jobs.run_available(jobs.tumbling(jobs.distinct_events(stream, "1 day"), late="1 day"), "t", "append")
+    live = jobs.run_available(jobs.tumbling(jobs.distinct_events(stream, "1 day"), late=None), "t", "append")
     assert live.count() <= jobs.tumbling(df).count()
     full = jobs.run_available(jobs.tumbling(stream, late="1 day"), "c", "complete")
     batch = jobs.tumbling(df.unionByName(df.limit(10)))
