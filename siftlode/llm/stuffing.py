@@ -28,7 +28,7 @@ _HASHTAG = re.compile(r"(?<!\S)#\w[\w-]*")
 _PRODUCT = re.compile(r"^\W*[A-Za-z]{2,8}[-_ #]?\d{3,}\s*[~|/,;:]\s*\S.*[~|/,;:]")
 _WORD = re.compile(r"[^\W\d_]+")
 _SPLIT = re.compile(r"[,;|!?\n•·*/~]|\s[-–—]\s|\.\s|>>|<<|\s{2,}")
-_CODE = re.compile(r"[{};]\s*$|^\s*(?:def|class|import|from|return|func|fn|pub|const|let|var|if|for|while|package|use|using|@\w+|#include|at )\b|=>|\)\s*:\s*$|\(\)")
+_CODE = re.compile(r"[{}]\s*$|[=().\[\]\"'][^\n]*;\s*$|^\s*(?:def|class|import|from|return|func|fn|pub|const|let|var|if|for|while|package|use|using|@\w+|#include|at )\b|=>|\)\s*:\s*$|\(\)")
 _ENDED = re.compile(r"[.!?:。！？…]['\"`)\]]*\s*$")
 #: Common function words of the corpus languages.
 FUNCTION_WORDS = frozenset(
@@ -90,11 +90,11 @@ def page_features(text: str) -> tuple[float, ...]:
         segments = Counter(p for ps in parts for p in ps)
         pairs = Counter(zip(words, words[1:]))
         for (x, _, own, prose), ps in zip(open_lines, parts):
-            if seen[x.lower()] >= 3 and len(own) <= 6:
+            if _CODE.search(x):
+                code += len(x)
+            elif seen[x.lower()] >= 3 and len(own) <= 6:
                 phrase += len(x)
                 repeated += len(x)
-            elif _CODE.search(x):
-                code += len(x)
             elif own and not prose:
                 many = len(own) > 8 or len(lines) > 8
                 hot = sum(1 for p in zip(own, own[1:]) if pairs[p] >= 3)
