@@ -52,7 +52,7 @@ def collection_name(identity: Column, prefix: str = "code_chunks", override: str
 
 def tokens(text: Column) -> Column:
     """Lower-case words of ASCII letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"[^a-z0-9]+"), "")
 
 
 def query_terms(text: Column) -> Column:

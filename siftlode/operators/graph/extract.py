@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlode.functions.text import graph_language, module_name
+from siftlode.runtime import spread
 
 _NAME = r"([A-Za-z_$][\w$]*)"
 #: Patterns of a definition's first line, with the label it makes.
@@ -155,7 +156,7 @@ def file_facts(files: DataFrame, project_col: str = "project", path_col: str = "
             cols = list(zip(*rows)) if rows else [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["project", "path", "kind", "name", "detail", "label", "start_line", "end_line"])
 
-    return base.mapInArrow(run, _FACTS)
+    return spread(base).mapInArrow(run, _FACTS)
 
 
 def graph_of(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -89,14 +89,14 @@ def bm25_topk(docs: DataFrame, query: str, k: int = 10, id_col: str = "id", text
     """
     terms = sorted({t for t in _terms(query)})
     cols = weights or {text_col: 1.0}
-    arrays = [(text.tokens(F.coalesce(F.col(c), F.lit(""))), w) for c, w in cols.items()]
-    dl = sum((F.size(a) * F.lit(w) for a, w in arrays[1:]), F.size(arrays[0][0]) * F.lit(arrays[0][1]))
+    words = docs.select(F.col(id_col), *[text.tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"w{i}") for i, c in enumerate(cols)])
+    arrays = [(F.col(f"w{i}"), w) for i, w in enumerate(cols.values())]
+    lengths = [F.size(a) * F.lit(w) for a, w in arrays]
     counts = []
     for i, term in enumerate(terms):
-        each = [F.size(F.filter(a, _equals(term))) * F.lit(w) for a, w in arrays]
-        tf = sum(each[1:], each[0])
-        counts.append(tf.cast("double").alias(f"tf{i}"))
-    rows = docs.select(F.col(id_col), dl.cast("double").alias("dl"), *counts).where("dl > 0")
+        each = [(F.size(a) - F.size(F.array_remove(a, term))) * F.lit(w) for a, w in arrays]
+        counts.append(sum(each[1:], each[0]).cast("double").alias(f"tf{i}"))
+    rows = words.select(F.col(id_col), sum(lengths[1:], lengths[0]).cast("double").alias("dl"), *counts).where("dl > 0")
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))])
     joined = rows.crossJoin(F.broadcast(stats))  # the statistics are one row
     score = F.lit(0.0)
@@ -107,10 +107,6 @@ def bm25_topk(docs: DataFrame, query: str, k: int = 10, id_col: str = "id", text
     return joined.select(id_col, F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), id_col).limit(k)
 
 
-def _equals(term: str):
-    return lambda x: x == F.lit(term)
-
-
 def _terms(query: str) -> list[str]:
     import re
 

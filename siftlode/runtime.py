@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_WORK: set[str] = set()
 
 
 def session(app: str = "siftlode", cores: str = "*", **conf: object) -> SparkSession:
@@ -51,10 +52,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL_DIRS[app]}"
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's own folder of intermediate tables in the shared folder; it is removed when the driver ends."""
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/siftlode/{app}"
+    if app not in _WORK:
+        _WORK.add(app)
+        atexit.register(_remove, path)
+    return path
+
+
+def _remove(path: str) -> None:
+    local = local_path(path)
+    if os.path.isdir(local):
+        shutil.rmtree(local, ignore_errors=True)
+        return
+    try:
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the cluster is gone already
+        pass
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends, nothing is recomputed later."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftlode/{tag}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -93,6 +118,15 @@ def slots(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is heavy a row: an input of fewer partitions than tasks can run at once is dealt out evenly.
+
+    A large input has more partitions than that and is read as it is, without a shuffle. The rows are the same.
+    """
+    n = slots(df.sparkSession)
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def pieces(total: float, each: float) -> int:
     """How many pieces of at most ``each`` cover ``total``; at least one."""
     return max(1, math.ceil(total / each))
@@ -100,4 +134,4 @@ def pieces(total: float, each: float) -> int:
 
 def local_path(uri: str) -> str:
     """The file-system path of a ``file:`` URI or plain path."""
-    return uri[5:].replace("//", "/", 1) if uri.startswith("file:") else os.fspath(uri)
+    return "/" + uri[5:].lstrip("/") if uri.startswith("file:") else uri

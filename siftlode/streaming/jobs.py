@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.runtime import shared_dir
+from siftlode.runtime import work_dir
 
 
 def _marked(events: DataFrame, time_col: str, late: str | None) -> DataFrame:
@@ -41,7 +41,7 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     import uuid
 
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/siftlode/stream-{name}-{uuid.uuid4().hex}"
+    base = f"{work_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
     if mode == "append":
         q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
         q.awaitTermination()
