@@ -19,12 +19,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.textkernel import U64, mix, row_ids, slices, word_hashes
-from siftlode.runtime import cut, pieces
+from siftlode.llm.textkernel import U64, mix, slices, word_hashes
+from siftlode.runtime import cut, spread
 
 BITS = 128
 LEAF = 48
@@ -93,7 +92,7 @@ def signatures(records: DataFrame, trees: int, run: int, min_words: int) -> Data
                     ["id", "c0", "c1", "s0", "s1", "keys"],
                 )
 
-    return records.mapInArrow(go, "id long, c0 long, c1 long, s0 long, s1 long, keys array<long>")
+    return spread(records).mapInArrow(go, "id long, c0 long, c1 long, s0 long, s1 long, keys array<long>")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:

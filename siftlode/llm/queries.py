@@ -95,6 +95,12 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": """
+with v as (select distinct vec_id, regexp_extract_all(content, '[A-Za-z0-9_]+') as w from vector_documents where content is not null),
+s as (select distinct vec_id, lower(w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]) as g from (select vec_id, w, unnest(range(1, len(w) - 1)) as k from v where len(w) >= 20)),
+n as (select vec_id, count(*) as n from s group by 1),
+p as (select a.vec_id as vec_id_a, b.vec_id as vec_id_b, count(*) as c from s a join s b on a.g = b.g and a.vec_id < b.vec_id group by 1, 2)
+select vec_id_a, vec_id_b from p join n x on x.vec_id = vec_id_a join n y on y.vec_id = vec_id_b where c >= 0.6 * (x.n + y.n - c)""",
         "p9_found": """
 with w as (select doc_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) as w from documents where text is not null),
 i as (select item_id, list_transform(regexp_extract_all(item_text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) as w from eval_items where item_text is not null),

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.llm.syntax.lexers import ALIASES, EXTENSIONS
+from siftlode.runtime import spread
 
 _MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|partial|readonly|unsafe|async|export|default|declare|strictfp|file|ref|override|virtual|new|extern)\s+)*"
 #: What begins a definition at the left margin, comments and strings aside.
@@ -154,7 +155,7 @@ def find_boundaries(chunks: DataFrame, limit: int = 2500, id_col: str = "chunk_i
                 line += lines
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(line, pa.int64())], ["id", "line_no"])
 
-    return base.mapInArrow(run, f"id {kind}, line_no long").distinct().withColumnRenamed("id", id_col)
+    return spread(base).mapInArrow(run, f"id {kind}, line_no long").distinct().withColumnRenamed("id", id_col)
 
 
 _RANK = {"definition": 4, "paragraph": 3, "line": 2, "word": 1}
