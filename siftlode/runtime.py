@@ -121,9 +121,12 @@ def slots(spark: SparkSession) -> int:
 def spread(df: DataFrame) -> DataFrame:
     """For work that is heavy a row: an input of fewer partitions than tasks can run at once is dealt out evenly.
 
-    A large input has more partitions than that and is read as it is, without a shuffle. The rows are the same.
+    A large input has more partitions than that and is read as it is, without a shuffle, and so is one that comes out
+    of a shuffle (counting its partitions would run it). The rows are the same.
     """
     n = slots(df.sparkSession)
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
