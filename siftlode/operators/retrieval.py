@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlode.functions import text, vectors
+from siftlode.runtime import hashed_sample
 
 
 def dense_topk(docs: DataFrame, query, k: int = 10, id_col: str = "id", vector_col: str = "vector", where: Column | None = None, threshold: float | None = None) -> DataFrame:
@@ -45,7 +46,7 @@ class InvertedFile:
         self.centroids = np.empty((0, 0))
 
     def fit(self, docs: DataFrame, id_col: str, vector_col: str) -> InvertedFile:
-        drawn = docs.where(F.col(vector_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(self.sample).select(vector_col).toPandas()[vector_col]
+        drawn = hashed_sample(docs.where(F.col(vector_col).isNotNull()).select(id_col, vector_col), id_col, self.sample).toPandas()[vector_col]
         if not len(drawn):
             return self
         x = np.stack([np.asarray(v, float) for v in drawn])

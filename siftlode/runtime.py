@@ -16,6 +16,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -118,6 +119,17 @@ def slots(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
+def hashed_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The ``most`` rows with the smallest hash of ``key``, for fitting a model: a bounded, repeatable sample.
+
+    A threshold on the hash keeps about twice that many before they are ordered, so tasks send few rows each.
+    """
+    n = df.count()
+    h = F.xxhash64(key)
+    rows = df if n <= 2 * most else df.where(h < -(1 << 63) + int((1 << 64) * (2 * most / n)))
+    return rows.orderBy(h, key).limit(most)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """For work that is heavy a row: an input of fewer partitions than tasks can run at once is dealt out evenly.
 
