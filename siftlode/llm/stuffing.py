@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.runtime import cut, spread
+from siftlode.runtime import cut, hashed_sample, spread
 
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+")
 _MD_LINK = re.compile(r"\[[^\]\n]*\]\([^)\s]*\)")
@@ -204,7 +204,7 @@ def score_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"\S"))
     pages = cut(spread(base).mapInArrow(_featurise, f"doc {kind}, host string, features array<double>, weak int"), "features")
-    drawn = pages.where("weak is not null").orderBy(F.xxhash64("doc"), "doc").limit(sample).select("features", "weak").toPandas()
+    drawn = hashed_sample(pages.where("weak is not null").select("doc", "features", "weak"), "doc", sample).toPandas()
     x = np.array(drawn["features"].tolist(), float).reshape(-1, len(FEATURES))
     model = BaggedTrees().fit(x, drawn["weak"].to_numpy(float))
 
