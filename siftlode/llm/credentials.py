@@ -3,17 +3,21 @@
 Method: literals are indexed corpus-wide. Each text is read for literals in a place that gives a credential away (a
 named value, an authorization, a URL or command, a key block, a known token form) and for other strings that look
 random. Grouped by value, a literal that many owners (projects) share is a placeholder and is suppressed; a rare one
-that stands in a telling place, or has a prefix that telling places confirm, is a confirmed secret. Every text in
-which a confirmed secret occurs, telling place or not, is then scanned again by an automaton over its secrets, which
-gives all lines and the spans to mask.
+that stands in a telling place, or has a prefix that telling places confirm, is a confirmed secret. Every text is
+then read again for all confirmed secrets, whatever place they stand in and whether or not a pattern extracts them
+there; an automaton over those that can stand in a text gives all lines and the spans to mask.
 
 Plan: one map over the texts gives short rows of hashes and values. They are grouped by value with partial counts (a
-value in a third of all texts is folded before the shuffle), joined back by value, and only texts with a hit are
-fetched for the scan. No list of secrets is collected or broadcast.
+value in a third of all texts is folded before the shuffle). Every confirmed value has a seed, its rarest run of
+``SEED`` bytes; a bit table of the seeds' hashes, at most 2 ** ``_TABLE_BITS`` bits at any size, is broadcast, and a
+second map tests every position of every text against it. A text that holds a value holds its seed, so none is lost;
+the seeds met, short rows, are joined to the values, and only texts with a hit are fetched for the automaton. No list
+of secrets is collected or broadcast, and no text is passed more than twice.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -22,12 +26,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftlode.llm.textkernel import U64, raw, slices
 from siftlode.runtime import cut, spread
 
+#: Bytes of a seed. No value is shorter: ``looks_secret`` and the fixed forms ask for at least as many characters.
+SEED = 8
+_TABLE_BITS, _PART_BITS = 26, 15
+
 _QUOTED = r"""(?:"[^"\n]*"|'[^'\n]*'|`[^`\n]*`)"""
 _VALUE = rf"""(?P<v>{_QUOTED}(?:[ \t]*[+.][ \t]*{_QUOTED})*|[^\s"'`,;&(){{}}\[\]<>|]+)"""
 _NAMES = r"passw(?:or)?d|passwd|passphrase|pass|pwd|secret|token|(?:api|license|encryption|private|access|signing|auth|secret|account|storage)[_\-]?key|creds?|credentials?|bearer"
-_KEYED = re.compile(rf"""(?i)(?:{_NAMES})["'`]?\]?[ \t]*(?::[ \t]*(?:const[ \t]+)?[A-Za-z][\w<>&:]*[ \t]*(?==))?(?::=|=>|=(?!=)|:)[ \t]*{_VALUE}""")
+_KEYED = re.compile(rf"""(?i)(?:{_NAMES})["'`]?\]?[ \t]*(?::[ \t]*(?:const[ \t]+)?[A-Za-z][\w<>&:]*[ \t]*(?==))?(?::=|=>|=(?!=)|:(?!:\w))[ \t]*{_VALUE}""")
 _PARAM = re.compile(r"""(?i)[?&;](?:key|sig|signature|code|auth)=(?P<v>[^\s"'`&;]+)""")
 _URL = re.compile(r"""[A-Za-z][\w+.\-]*://[^\s/:@"'`]*:(?P<v>[^\s/@"'`]+)@""")
 _AUTH = re.compile(r"""(?i)(?:authorization["'`]?\]?[ \t]*[:=][ \t]*["'`]?(?:bearer|basic|token|digest|apikey)?|\b(?:bearer|basic))[ \t]+(?P<v>[A-Za-z0-9+/=_\-.~]{10,})""")
@@ -151,6 +160,89 @@ def confirmed(found: DataFrame, max_owners: int, min_prefix: int) -> DataFrame:
     return by_value.join(prefixes, "prefix", "left").where("told or known").select("code", "value")
 
 
+def _windows(batches):
+    """(code, seed, odd, at): the distinct runs of ``SEED`` bytes of each value, and how many bytes of a run are no letters."""
+    letter = np.zeros(256, bool)
+    letter[[*range(65, 91), *range(97, 123)]] = True
+    for batch in batches:
+        for code, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            body = value.encode("utf-8", "surrogatepass")
+            seed, at = np.unique(_runs(body), return_index=True)
+            other = np.concatenate([[0], np.cumsum(~letter[np.frombuffer(body, np.uint8)])])
+            cols = [pa.array(np.full(len(at), code)), pa.array(seed.view(np.int64)), pa.array((other[at + SEED] - other[at]).astype(np.int32)), pa.array(at.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["code", "seed", "odd", "at"])
+
+
+def _runs(body: bytes) -> np.ndarray:
+    """The run of ``SEED`` bytes at every position, as a number."""
+    return np.ndarray((max(0, len(body) - SEED + 1),), "<u8", body, strides=(1,)) if len(body) >= SEED else np.empty(0, U64)
+
+
+def _slots(runs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each run in a table of 2 ** ``bits``."""
+    h = runs * U64(0x9E3779B97F4A7C15)
+    again = (h ^ h >> U64(29)) * U64(0xBF58476D1CE4E5B9)
+    return (h >> U64(64 - bits)).astype(np.int64), (again >> U64(64 - bits)).astype(np.int64)
+
+
+def _seeds(secret: DataFrame) -> DataFrame:
+    """(seed, value): of each value the run that the fewest values share, so that a common head (of a key block, of a
+    token) is no join key; then one with many characters that are no letters, so that it is no word."""
+    runs = cut(secret.mapInArrow(_windows, "code long, seed long, odd int, at int"), "runs")
+    shared = runs.groupBy("seed").agg(F.count("*").alias("n"))
+    rarest = runs.join(shared, "seed").groupBy("code").agg(F.min_by("seed", F.struct("n", -F.col("odd"), "at")).alias("seed"))
+    return rarest.join(secret, "code").select("seed", "value")
+
+
+def _bit_table(seeds: DataFrame, bits: int) -> bytes:
+    """The bits of all seeds, put together part by part on the executors."""
+    part_bits = min(bits, _PART_BITS)
+
+    def slots(batches):
+        for batch in batches:
+            slot = np.unique(np.concatenate(_slots(batch.column(0).to_numpy().view(U64), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array((slot >> part_bits).astype(np.int32)), pa.array((slot & (1 << part_bits) - 1).astype(np.int32))], ["part", "bit"])
+
+    def pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        flag = np.zeros(1 << part_bits, bool)
+        flag[rows.column("bit").to_numpy()] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(flag, bitorder="little").tobytes()], pa.binary())})
+
+    table = np.zeros((1 << bits) // 8, np.uint8)
+    size = (1 << part_bits) // 8
+    for r in seeds.select("seed").mapInArrow(slots, "part int, bit int").distinct().groupBy("part").applyInArrow(pack, "part int, bits binary").collect():
+        table[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return table.tobytes()
+
+
+def _meet(shared, bits: int):
+    """(id, seed): runs of each text that have both bits set."""
+
+    def go(batches):
+        table = np.frombuffer(shared.value, np.uint8)
+        is_set = lambda slot: (table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+        for batch in batches:
+            for at, part in slices(batch.column(1)):
+                body, off = raw(part)
+                runs = _runs(body)
+                where = np.flatnonzero(is_set(_slots(runs, bits)[0]))
+                where = where[is_set(_slots(runs[where], bits)[1])]
+                row = np.searchsorted(off, where, "right") - 1
+                inside = where + SEED <= off[row + 1]
+                row, seed = row[inside], runs[where[inside]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + row)), pa.array(seed, pa.int64())], ["id", "seed"])
+
+    return go
+
+
+def everywhere(base: DataFrame, secret: DataFrame) -> DataFrame:
+    """(id, value): each text with the values whose seed it holds; among them are all values that it holds."""
+    seeds = cut(_seeds(secret), "seeds")
+    bits = min(_TABLE_BITS, max(_PART_BITS, math.ceil(math.log2(64 * max(1, seeds.count())))))
+    shared = base.sparkSession.sparkContext.broadcast(_bit_table(seeds, bits))
+    return spread(base.select("id", "text")).mapInArrow(_meet(shared, bits), "id long, seed long").distinct().join(seeds, "seed").select("id", "value")
+
+
 def _spans(text: str, values: list[str]) -> list[tuple[int, int]]:
     """Where any of the values stands in a text: by an automaton over them, and at the literals they were read from."""
     import ahocorasick
@@ -197,9 +289,9 @@ def find_credentials(docs: DataFrame, id_col: str = "vec_id", owner_col: str = "
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(owner_col), F.lit("")).alias("owner"), F.col(text_col).alias("text")).where("id is not null and text is not null and text <> ''")
     found = cut(spread(base).mapInArrow(_index, _FOUND), "literals")
-    secret = confirmed(found, max_owners, min_prefix)
-    hits = found.select("id", "code").distinct().join(secret, "code").select("id", "value")
-    hits = cut(hits, "secrets")
+    secret = cut(confirmed(found, max_owners, min_prefix), "confirmed")
+    read = found.select("id", "code").distinct().join(secret, "code").select("id", "value")  # a sum of parts stands nowhere as one run
+    hits = cut(read.unionByName(everywhere(base, secret)).distinct(), "secrets")
     wanted = base.select("id", "text").join(hits.select("id").distinct(), "id", "left_semi")
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
