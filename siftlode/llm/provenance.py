@@ -31,12 +31,20 @@ _VENDORED = re.compile(
 )
 _OWN = re.compile(rf"(?im){_COMMENT}copyright \d{{4}} the project authors")
 _TABLE_CALL = re.compile(r"^[ \t]*(?:(?:export|public|static|final|const|var|let|auto|readonly)[ \t]+)*[_A-Za-z]\w*(?:[ \t]*:[ \t]*\w+)?[ \t]*:?=[ \t]*\w+\([ \t]*\d+,[ \t]*\"[^\"]*\",[ \t]*\d+,[ \t]*0x[0-9a-f]+[ \t]*\);?[ \t]*\r?$", re.M)
-_QUOTED = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|//[^\n]*|#(?=[ \t])[^\n]*")
+#: Strings and notes to leave out of a line, by the quotes that are still closed somewhere after.
+_QUOTED = {
+    kinds: re.compile("|".join([rf"{q}(?:[^{q}\\\n]|\\.)*+(?:{q}|(?P<open{k}>\\?\Z))" for k, q in enumerate(kinds)] + [r"`[^`\n]*`|//[^\n]*|#(?=[ \t])[^\n]*"]))
+    for kinds in ("\"'", '"', "'", "")
+}
+#: Tokens of data, each split as far as it goes (1024 is four, as a backtracking pattern would have it), so that one way to read a line is left.
+_NUMBER = r"(?>0x(?:[0-9a-fA-F]*[a-dfA-DF]|[0-9a-fA-F])[eE]*|-?\d[.eE+-]*)"
 _DATA_LINE = re.compile(
-    r"""^[ \t]*(?:(?:(?:0x[0-9a-fA-F]+|-?\d[\d.eE+-]*|"[^"\n]*"|'[^'\n]*'|[{}\[\]():]|null|true|false|None|True|False)[ \t]*[,:]?[ \t]*)+|["']?[A-Za-z0-9+/=]{40,}["']?[,;+\\]?[ \t]*)\r?$"""
+    rf"""^[ \t]*+(?:(?:(?:{_NUMBER}|"[^"\n]*+"|'[^'\n]*+'|[{{}}\[\]():]|null|true|false|None|True|False)[ \t]*+,?+[ \t]*+)++|["']?[A-Za-z0-9+/=]{{40,}}["']?[,;+\\]?[ \t]*)\r?$"""
 )
 _DATA_EDGE = re.compile(r"""^[ \t]*(?:(?:(?:export|public|static|final|const|constexpr|unsigned|char|var|let|default|readonly|private)[ \t]+)*[\w.$]+(?:\[\d*\])?(?:[ \t]*:[ \t]*[\w\[\]<>]+)?[ \t]*:?=[ \t]*(?:new[ \t]+\w+[ \t]*\(|bytes(?:array)?\(|[\w.]+\(|&)?[ \t]*[\[({]*[ \t]*|(?:export default|module\.exports[ \t]*=)[ \t]*[\[{(]+[ \t]*|[\])}]+;?,?[ \t]*)\r?$""")
-_DATA_WHOLE = re.compile(r"""^[ \t]*(?:(?:export|public|static|final|const|var|let|readonly)[ \t]+)*[\w.$]+(?:[ \t]*:[ \t]*[\w\[\]<>]+)?[ \t]*:?=[ \t]*(?:[\w.]+\()?[ \t]*(?:["'`][A-Za-z0-9+/=\\x]{120,}["'`]|[\[({][ \t]*(?:(?:0x[0-9a-fA-F]+|-?\d[\d.eE+-]*|"[^"\n]*")[ \t]*,?[ \t]*){12,}[\])}]*)\)?;?[ \t]*\r?$""")
+_DATA_WHOLE = re.compile(
+    rf"""^[ \t]*+(?:(?:export|public|static|final|const|var|let|readonly)[ \t]+)*[\w.$]+(?:[ \t]*:[ \t]*[\w\[\]<>]+)?[ \t]*:?=[ \t]*+(?:[\w.]++\()?+[ \t]*+(?:["'`][A-Za-z0-9+/=\\x]{{120,}}["'`]|[\[({{][ \t]*+(?:(?:{_NUMBER}|"[^"\n]*+")[ \t]*+,?+[ \t]*+){{12,}}+[\])}}]*)\)?;?[ \t]*\r?$"""
+)
 _BLANK_OR_NOTE = re.compile(r"^[ \t]*(?:(?://|#|/?\*)[^\n]*)?\r?$")
 
 _GEN_NAME = r"(?i)(?:\.generated\.\w+|\.g\.\w+|_pb2(?:_grpc)?\.py|\.pb\.\w+|\.designer\.\w+|[._-]autogen\.\w+)$"
@@ -51,6 +59,22 @@ _OUT_DIR = r"(?:^|/)(?:dist|build|out|bundles?)/"
 COUNTS = ("chars", "lines", "long", "data", "code", "tables", "gen_head", "vend_head", "own_head")
 
 
+def _bare(line: str) -> int:
+    """Characters of a line outside strings and notes. A quote that nothing closes is one of them; each kind is sought once."""
+    at = bare = 0
+    kinds = "\"'"
+    while True:
+        for m in _QUOTED[kinds].finditer(line, at):
+            bare += m.start() - at
+            at = m.end()
+            if m.lastgroup:
+                bare, at = bare + 1, m.start() + 1
+                kinds = kinds.replace(line[m.start()], "")
+                break
+        else:
+            return bare + len(line) - at
+
+
 def chunk_counts(text: str) -> tuple[int, ...]:
     """The counts of one chunk, in the order of ``COUNTS``; long, data and code count characters."""
     lines = text.split("\n")
@@ -61,11 +85,10 @@ def chunk_counts(text: str) -> tuple[int, ...]:
             continue
         used += 1
         if n > 220:
-            bare = len(_QUOTED.sub("", line[:20_000])) / min(n, 20_000)
-            if _DATA_WHOLE.match(line[:200_000]) or _DATA_LINE.match(line[:20_000]):
+            if _DATA_WHOLE.match(line) or _DATA_LINE.match(line):
                 data += n
                 continue
-            if bare > 0.5 and line.count(" ") < n / 6:
+            if _bare(line) / n > 0.5 and line.count(" ") < n / 6:
                 long += n
                 continue
             code += n

@@ -118,6 +118,16 @@ def test_provenance(spark):
     assert provenance.label_files(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [150, 38_000, 42_000, 250_000, 3_000_000])
+def test_long_data_lines_are_read_whole(size):
+    row = '"abcde", ' * (size // 9 + 1)
+    for line in (row, f"const T = [{row}];", 'const A = "' + "Ab3+" * (size // 4 + 30) + '";', "x = [" + "0x1f, 27, -3.5e-1," * (size // 18 + 4) + "]"):
+        assert provenance.chunk_counts(line)[2:5] == (0, len(line), 0)
+        assert provenance.chunk_counts(line + " f(x)")[3] == 0
+    assert provenance.chunk_counts('"' + "a " * size + '";' + "f(x);" * size)[2:5] == (7 * size + 3, 0, 0)
+    assert provenance.chunk_counts("x = '" + '\\"' * size)[3] == 0
+
+
 def test_beliefs_equal_enumeration(spark):
     import itertools
     import math
