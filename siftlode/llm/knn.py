@@ -3,11 +3,15 @@
 Method: shifted space-filling curves. Vectors are projected at random to ``dims`` dimensions, shifted and ordered by
 their Hilbert key, several times over. Each ordering is cut into key ranges of about ``range_rows`` vectors that are
 shuffle partitions; in a range, windows of neighbours along several local Hilbert orderings are compared by one matrix
-product a window, and the windows' results are merged and reranked by exact similarity.
+product a window, and the windows' results are merged and reranked by exact similarity. Local grids are ranks of the
+range's own coordinates, so they are as fine in a tight group as elsewhere. A vector with more mates of ``floor`` than
+windows can be trusted with (a quarter of one) is crowded, and crowded vectors are compared with each other exactly.
 
 Plan: a vector travels as 16-bit integers with its norm (cosine error about 1e-5), equal vectors only once. The
 ranges come from a bounded sample of keys (``sample``); every vector is indexed. Keys that fill whole ranges are
-spread over them by hash. Work is linear: windows, never pairs of all rows.
+spread over them by hash, another one in each curve. Crowded vectors go in blocks of a third of a range, and pairs of
+blocks are tasks; a pair is left out only if its centres are too far apart for any mate better than those found. Work
+is linear in windows, and quadratic in the size of a crowded group.
 """
 
 from __future__ import annotations
@@ -58,7 +62,9 @@ class Curve:
         self.shift = rng.uniform(-0.25, 0.25, dims).astype(np.float32)
         self.bits = bits
 
-    def keys(self, unit: np.ndarray) -> np.ndarray:
+    def keys(self, unit: np.ndarray, ranks: bool = False) -> np.ndarray:
+        if ranks:
+            return hilbert_keys((np.argsort(np.argsort(unit @ self.axes, axis=0), axis=0) << self.bits) // len(unit), self.bits)
         place = np.clip((unit @ self.axes + self.shift + 3.25) / 6.5, 0, 1 - 1e-6)
         return hilbert_keys((place * (1 << self.bits)).astype(np.int64), self.bits)
 
@@ -103,11 +109,11 @@ def _routes(width: int, dims: int, bits: int, curves: int, bounds: list[np.ndarr
             q = _matrix(batch.column(1), width)
             unit = _unit(q)
             ids = batch.column(0).to_numpy()
-            spread = (mix(ids.view(U64)) >> U64(1)).astype(np.int64)
             base = 0
             for c, curve in enumerate(made):
                 key = curve.keys(unit)
                 lo, hi = np.searchsorted(bounds[c], key, "left"), np.searchsorted(bounds[c], key, "right")
+                spread = (mix(mix(ids.view(U64)) + U64(c)) >> U64(1)).astype(np.int64)
                 part = lo + spread % (hi - lo + 1)
                 yield pa.RecordBatch.from_arrays([pa.array((base + part).astype(np.int32)), batch.column(0), batch.column(1)], ["part", "id", "q"])
                 base += len(bounds[c]) + 1
@@ -115,9 +121,16 @@ def _routes(width: int, dims: int, bits: int, curves: int, bounds: list[np.ndarr
     return go
 
 
-def _best(ids, q, unit, curve_keys, window, k, floor) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (row, mate, similarity) of the k best mates in the windows of each ordering, at least ``floor``."""
+def _least(score: np.ndarray, k: int, floor: float, error: float) -> np.ndarray:
+    """Of each row, the score below which no mate can be among the k best or reach ``floor``."""
+    kth = np.partition(score, score.shape[1] - k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), floor)
+    return np.maximum(kth, floor)[:, None] - error
+
+
+def _best(ids, q, unit, curve_keys, window, k, floor) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row, mate, similarity) of the k best mates in the windows of each ordering, at least ``floor``, and which rows are crowded."""
     n, near = len(ids), []
+    crowded = np.zeros(n, bool)
     block = max(128, window)
     for keys in curve_keys:
         order = np.argsort(keys, kind="stable")
@@ -126,10 +139,18 @@ def _best(ids, q, unit, curve_keys, window, k, floor) -> tuple[np.ndarray, np.nd
             e, lo, hi = min(s + block, n), max(0, s - window), min(n, s + block + window)
             score = u[s:e] @ u[lo:hi].T
             score[np.arange(e - s), np.arange(s - lo, e - lo)] = -2
-            i, j = np.nonzero(score >= floor - 1e-4)
+            many = (score >= floor).sum(axis=1)
+            crowded[order[s:e]] |= many >= max(k, window // 4)
+            i, j = np.nonzero(score >= (_least(score, k, floor, 1e-5) if (many > 8 * k).any() else floor - 1e-4))
             near.append(order[i + s] * n + order[j + lo])
     code = np.unique(np.concatenate(near)) if near else np.empty(0, np.int64)
     i, j = code // max(n, 1), code % max(n, 1)
+    return *_ranked(ids, q, i, j, k, floor), crowded
+
+
+def _ranked(ids, q, i, j, k, floor) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row among distinct pairs (row, mate), by exact similarity, at least ``floor``."""
+    n = len(ids)
     exact = np.empty(len(i))
     norm = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
     for s in range(0, len(i), 100_000):
@@ -153,16 +174,71 @@ def _range(width, dims, bits, local, window, k, floor):
         unit = _unit(q)
         part = int(key[0].as_py())
         curves = [Curve(7919 * part + 13 * c + 5, width, dims, bits) for c in range(local)]
-        i, j, score = _best(ids, q, unit, (c.keys(unit) for c in curves), window, k, floor)
-        off = np.searchsorted(i, np.arange(len(ids) + 1))
-        has = np.flatnonzero(np.diff(off))
-        lists = np.concatenate([off[has], off[-1:]])
-        mates = pa.StructArray.from_arrays([pa.array(score), pa.array(ids[j])], ["score", "mate"])
-        return pa.table({"id": pa.array(ids[has]), "mates": pa.ListArray.from_arrays(pa.array(lists, pa.int32()), mates)})
+        i, j, score, crowded = _best(ids, q, unit, (c.keys(unit, True) for c in curves), window, k, floor)
+        return _lists(ids, i, j, score, crowded)
 
     return go
 
 
+_MATES = "id long, mates array<struct<score:double,mate:long>>, crowded boolean"
+
+
+def _lists(ids, i, j, score, crowded) -> pa.Table:
+    """Ranked pairs as one row an id, in the form of ``_MATES``."""
+    off = np.searchsorted(i, np.arange(len(ids) + 1))
+    has = np.flatnonzero(np.diff(off))
+    lists = np.concatenate([off[has], off[-1:]])
+    mates = pa.StructArray.from_arrays([pa.array(score), pa.array(ids[j])], ["score", "mate"])
+    return pa.table({"id": pa.array(ids[has]), "mates": pa.ListArray.from_arrays(pa.array(lists, pa.int32()), mates), "crowded": pa.array(crowded[has])})
+
+
+def _among_crowded(rows: DataFrame, width: int, dims: int, bits: int, k: int, floor: float, block_rows: int, sample: int) -> DataFrame:
+    """In the form of ``_MATES``: the k best mates of crowded vectors (id, q, worst) among themselves, block against block.
+
+    ``worst`` is the k-th best similarity found so far; a pair of blocks that cannot better it for any row is left out.
+    """
+    n = rows.count()
+    blocks = pieces(n, block_rows)
+    drawn = rows.select("q").sample(min(1.0, sample / max(n, 1)), seed=12).limit(2 * sample).toPandas()
+    keys = np.sort(Curve(1000, width, dims, bits).keys(_unit(np.frombuffer(b"".join(map(bytes, drawn["q"])), np.int16).reshape(-1, width)))) if len(drawn) else np.empty(0, np.int64)
+    bounds = keys[(np.arange(1, blocks) * len(keys)) // blocks] if len(keys) else keys
+    routed = cut(rows.select("id", "q").mapInArrow(_routes(width, dims, bits, 1, [bounds]), "part int, id long, q binary").join(rows.select("id", "worst"), "id"), "crowded")
+
+    def extent(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        u = _unit(_matrix(part.column("q"), width))
+        centre = u.mean(axis=0)
+        centre /= max(float(np.linalg.norm(centre)), 1e-12)
+        radius = float(np.arccos(np.clip(u @ centre, -1, 1)).max())
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": pa.array([radius]), "worst": pa.array([min(part.column("worst").to_pylist())])})
+
+    found = routed.groupBy("part").applyInArrow(extent, "part int, centre array<double>, radius double, worst double").collect()
+    centre, radius = np.array([r["centre"] for r in found]), np.array([r["radius"] for r in found])
+    reach = np.arccos(np.clip([r["worst"] for r in found], -1, 1))
+    pairs = []
+    for a in range(len(found)):
+        gap = np.arccos(np.clip(centre[a:] @ centre[a], -1, 1)) - radius[a:] - radius[a] - 2e-3  # rounding of angles
+        pairs += [(found[a]["part"], found[b]["part"]) for b in (a + np.flatnonzero((gap <= np.maximum(reach[a:], reach[a])) | (np.arange(len(gap)) == 0))).tolist()]
+    ends = rows.sparkSession.createDataFrame([(p, f"{a} {b}") for a, b in pairs for p in {a, b}], "part int, pair string")
+
+    def compare(key: tuple[pa.Scalar, ...], both: pa.Table) -> pa.Table:
+        a, b = map(int, key[0].as_py().split())
+        ids, part, q = both.column("id").to_numpy(), both.column("part").to_numpy(), _matrix(both.column("q"), width)
+        unit = q / np.sqrt((q.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+        rows_a, rows_b, near_i, near_j = np.flatnonzero(part == a), np.flatnonzero(part == b), [], []
+        for one, other in ((rows_a, rows_b), (rows_b, rows_a))[: 1 if a == b else 2]:
+            right = unit[other].T
+            for s in range(0, len(one), 256):
+                mine = one[s : s + 256]
+                score = unit[mine] @ right
+                score[mine[:, None] == other[None, :]] = -2
+                i, j = np.nonzero(score >= _least(score, k, floor, 1e-12))
+                near_i.append(mine[i])
+                near_j.append(other[j])
+        return _lists(ids, *_ranked(ids, q, np.concatenate(near_i), np.concatenate(near_j), k, floor), np.ones(len(ids), bool))
+
+    return routed.select("part", "id", "q").join(F.broadcast(ends), "part").groupBy("pair").applyInArrow(compare, _MATES)
+
+
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "vector", width: int = 64, k: int = 5, floor: float = 0.85, curves: int = 6, local: int = 4, window: int = 192, dims: int = 10, bits: int = 6, range_rows: int = 12_000, sample: int = 40_000) -> DataFrame:
     """(id, mate, similarity): the k most similar others of every vector, those of cosine ``floor`` or more.
 
@@ -183,7 +259,11 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "vecto
         keys = np.sort(Curve(1000 + c, width, dims, bits).keys(_unit(np.frombuffer(b"".join(map(bytes, drawn["q"])), np.int16).reshape(-1, width))))
         bounds.append(keys[(np.arange(1, ranges) * len(keys)) // ranges])
     routed = classes.select("id", "q").mapInArrow(_routes(width, dims, bits, curves, bounds), "part int, id long, q binary")
-    found = routed.groupBy("part").applyInArrow(_range(width, dims, bits, local, window, k, floor), "id long, mates array<struct<score:double,mate:long>>")
+    found = cut(routed.groupBy("part").applyInArrow(_range(width, dims, bits, local, window, k, floor), _MATES), "mates")
+    crowded = found.where("crowded").groupBy("id").agg(F.max(F.when(F.size("mates") >= k, F.element_at("mates", k)["score"]).otherwise(floor)).alias("worst"))
+    if not crowded.isEmpty():
+        rows = cut(classes.select("id", "q").join(crowded, "id"), "crowded-rows")
+        found = found.unionByName(_among_crowded(rows, width, dims, bits, k, floor, max(1, range_rows // 3), sample))
     merged = found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("mates"))).alias("mates"))
     best = merged.select("id", F.slice(F.array_sort("mates", lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["mate"] < b["mate"], -1).otherwise(1)), 1, k).alias("mates"))
     pairs = best.select("id", F.explode("mates").alias("m")).select("id", F.col("m.mate").alias("mate"), F.col("m.score").alias("similarity"))

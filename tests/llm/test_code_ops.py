@@ -236,6 +236,26 @@ def test_nearest_against_brute_force(spark):
     assert knn.nearest(same, width=16).count() == 250
 
 
+@pytest.mark.parametrize("noise", [0.005, 0.05, 0.3])
+def test_nearest_in_a_hot_group(spark, noise):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((9000, 64))
+    x[::3] = x[0] + noise * rng.standard_normal((3000, 64))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, vector array<double>")
+    found = {}
+    for r in knn.nearest(df, window=24, range_rows=800, sample=4000).collect():
+        found.setdefault(r.id, set()).add(r.mate)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = hit = 0
+    for i in range(9000):
+        best = [j for j in np.argpartition(-s[i], 5)[:5] if s[i, j] >= 0.85]
+        want += len(best)
+        hit += len(found.get(i, set()) & set(best))
+    assert want > 10000 and hit / want > 0.9
+
+
 def test_hilbert_keys_are_a_curve():
     grid = np.array([(i, j) for i in range(16) for j in range(16)])
     order = grid[np.argsort(knn.hilbert_keys(grid, 4))]
