@@ -51,7 +51,7 @@ _FORMS = re.compile(
     r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{16,}|github_pat_\w{20,}|glpat-[\w\-]{16,}|xox[abeprs]-[\w\-]{10,}|sk_live_\w{14,}|rk_live_\w{14,}|npm_[A-Za-z0-9]{16,}|AIza[\w\-]{30,}|hf_[A-Za-z0-9]{20,}|SG\.[\w\-]{16,}\.[\w\-]{16,}|eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{8,})(?![A-Za-z0-9])"
 )
 _PREFIXED = re.compile(r"(?<![A-Za-z0-9_\-])(?P<p>[a-z]{2,8}(?:[-_][a-z]{2,8}){0,2}[-_])(?P<t>[A-Za-z0-9]{16,})(?![A-Za-z0-9])")
-_LOOSE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,30}\d)[A-Za-z0-9+/_\-]{16,200}={0,2}(?![A-Za-z0-9+/_\-])")
+_LOOSE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,30}\d)[A-Za-z0-9+/_\-]{16,}+={0,2}+(?![A-Za-z0-9+/_\-])")
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:[x*.•#\-_?0]{3,}|.*\*{3,}.*|<[^>]*>|\[[^\]]*\]|\$\{?.*|\$\(.*|\{\{.*|\{.*\}|%.*|@.*|.*(?:change[_-]?me|replace[_-]?me|your[_-]|_here\b|placeholder|redacted|example|dummy|sample[_-]?key|not[_-]?a[_-]?real|insert[_-]).*|none|null|nil|true|false|undefined|sha(?:1|256|384|512)[-:].*)$"
 )
@@ -68,8 +68,11 @@ def plain(value: str) -> str:
 
 
 def looks_secret(v: str) -> bool:
-    """Whether a literal can be a live credential: random-looking or of password form, no placeholder and no plain words."""
-    if len(v) < 8 or len(v) > 4000 or " " in v or _PLACEHOLDER.match(v):
+    """Whether a literal can be a live credential: random-looking or of password form, no placeholder and no plain words.
+
+    It has at least 8 characters and no blank; there is no upper bound, so one-line keystores count.
+    """
+    if len(v) < 8 or " " in v or _PLACEHOLDER.match(v):
         return False
     if _PHRASE.match(v):
         return True
@@ -84,7 +87,7 @@ def looks_secret(v: str) -> bool:
     lower, upper = any(c.islower() for c in v), any(c.isupper() for c in v)
     if digits:
         return turns >= 3 and (special or lower and upper or len(v) >= 16) or special and lower and upper
-    return len(v) >= 10 and lower and upper and turns >= max(4, len(v) // 3) and not re.fullmatch(r"(?:[A-Z]?[a-z]{2,})+", v)
+    return len(v) >= 10 and lower and upper and turns >= max(4, len(v) // 3) and not re.fullmatch(r"(?:[A-Z]?+[a-z]{2,}+)++", v)
 
 
 _TELLING = (_KEYED, _PARAM, _URL, _AUTH, _CALL, _PROSE, _NOTE, _FLAG)

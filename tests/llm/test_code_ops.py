@@ -102,6 +102,14 @@ def test_confirmed_secrets_are_found_in_any_place(spark):
     assert not any(v in masked for v in (short, signs, long, word) for _, masked in got.values())
 
 
+@pytest.mark.parametrize("size", [3_000, 5_000, 200_000])
+def test_long_credentials(size):
+    blob = "MIIKq7Xk2Lm9Pz+/" * (size // 16) + "AbC="
+    assert [(v, place) for _, _, v, place, _ in credentials.literals(f'keystore_password = "{blob}"\n')] == [(blob, "telling")]
+    assert [(v, place) for _, _, v, place, _ in credentials.literals(f"note {blob} here")] == [(blob, "loose")]
+    assert not credentials.looks_secret("Ab3dEf6")
+
+
 def test_provenance(spark):
     code = "import a\n\ndef f(x):\n    return x + 1\n\nprint(f(2))\n"
     rows = [
