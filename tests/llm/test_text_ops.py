@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from siftlode.llm import leakage, neardup, textkernel, tokens
 
@@ -131,7 +132,61 @@ def test_trie_join_equals_all_pairs():
     s = s[np.lexsort((s[:, 1], s[:, 0]))]
     i, j = np.triu_indices(len(s), 1)
     near = neardup._distance(s[i], s[j]) <= 20
-    a, b = neardup.trie_pairs(s, None, 20)
+    flat = (20,) * 129
+    a, b, _ = neardup.trie_pairs(s, None, flat)
     assert {(min(x), max(x)) for x in zip(a.tolist(), b.tolist())} == set(zip(i[near].tolist(), j[near].tolist()))
-    a, b = neardup.trie_pairs(s[:150], s[150:], 20)
+    a, b, _ = neardup.trie_pairs(s[:150], s[150:], flat)
     assert len(a) == sum(1 for x, y in zip(i[near], j[near]) if x < 150 <= y)
+
+
+def test_trie_join_prunes_families():
+    """Families whose members differ in few bits: pairs across families go by the budget, at shared prefixes."""
+    rng = np.random.default_rng(2)
+    heads = rng.integers(0, 1 << 63, (40, 2)).astype(np.uint64)
+    s = np.repeat(heads, 200, axis=0)
+    s[:, 1] ^= rng.integers(0, 1 << 20, len(s)).astype(np.uint64)
+    s = s[np.lexsort((s[:, 1], s[:, 0]))]
+    allowed = neardup.prefix_budgets(47, 0.6)
+    a, b, seen = neardup.trie_pairs(s, None, allowed)
+    i, j = np.triu_indices(len(s), 1)
+    near = neardup._distance(s[i], s[j]) <= 47
+    family = np.arange(len(s)) // 200
+    assert seen < 0.1 * len(i) and len(a) >= (family[i] == family[j])[near].sum()
+
+
+def test_prefix_budgets_keep_similar_pairs():
+    allowed = neardup.prefix_budgets(47, 0.6)
+    assert allowed[0] == 0 and allowed[128] == 47 and all(x <= y <= x + 1 for x, y in zip(allowed, allowed[1:]))
+    rng = np.random.default_rng(3)
+    differ = np.cumsum(rng.random((20000, 128)) < 0.2, axis=1)
+    assert (differ <= np.array(allowed[1:])).all(axis=1).mean() > 0.9999
+
+
+@pytest.mark.parametrize("sample", [20_000, 400])
+def test_crowded_keys_descend(spark, sample):
+    """Texts that share a heading share keys of the first forest; the second keeps apart all but the similar ones."""
+    rng = np.random.default_rng(6)
+    head = [f"h{k}" for k in range(20)]
+    rows = []
+    for k in range(4000):
+        own = [f"w{x}" for x in rng.integers(0, 10**6, 40)]
+        rows.append((k, " ".join(head + own)))
+        if k % 40 == 0:
+            own[int(rng.integers(0, 40))] = "changed"
+            rows.append((k + 10_000, " ".join(head + own)))
+    df = spark.createDataFrame(rows, "vec_id long, content string")
+    block, n = 150, len(rows)
+    crowd = neardup.crowded_keys(neardup.signatures(df.select("vec_id", "content"), 28, 3, 20), block, 20_000)
+    assert crowd.count() > 5
+    base = df.select(F.col("vec_id").alias("id"), F.col("content").alias("text"), F.lit(0).cast("long").alias("s0"), F.lit(0).cast("long").alias("s1"))
+    groups = neardup.deep_keys(base, 3).groupBy("tree").agg(F.count("*").alias("n"))
+    compared = groups.agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0]
+    assert compared < 0.05 * 51 * n * (n - 1) / 2 and groups.where("n > 1").count() > 51
+    got = {tuple(r) for r in neardup.near_pairs(df, block=block, sample=sample).collect()}
+    assert got == {(k, k + 10_000) for k in range(0, 4000, 40)}
+
+
+def test_blocks_of_a_tree_are_pruned(spark):
+    nodes = spark.createDataFrame([("t", 24, n) for n in (0, 1, 0xFFFFFF, 0xFFFFFE)], "tree string, depth int, node int")
+    got = {(r.node, r.mate) for r in neardup.block_pairs(nodes, neardup.prefix_budgets(47, 0.6)).collect()}
+    assert got == {(0, 0), (0, 1), (1, 1), (0xFFFFFE, 0xFFFFFE), (0xFFFFFE, 0xFFFFFF), (0xFFFFFF, 0xFFFFFF)}
