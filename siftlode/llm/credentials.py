@@ -2,8 +2,9 @@
 
 Method: literals are indexed corpus-wide. Each text is read for literals in a place that gives a credential away (a
 named value, an authorization, a URL or command, a key block, a known token form) and for other strings that look
-random. Grouped by value, a literal that many owners (projects) share is a placeholder and is suppressed; a rare one
-that stands in a telling place, or has a prefix that telling places confirm, is a confirmed secret. Every text is
+random. Grouped by value, a literal that many owners (projects) share is a placeholder and is suppressed, unless it is
+a key block or has the fixed form of an access token, which says what it is; a rare one that stands in a telling
+place, or has a prefix that telling places confirm, is a confirmed secret. Every text is
 then read again for all confirmed secrets, whatever place they stand in and whether or not a pattern extracts them
 there; an automaton over those that can stand in a text gives all lines and the spans to mask.
 
@@ -12,11 +13,13 @@ value in a third of all texts is folded before the shuffle). Every confirmed val
 ``SEED`` bytes; a bit table of the seeds' hashes, at most 2 ** ``_TABLE_BITS`` bits at any size, is broadcast, and a
 second map tests every position of every text against it. A text that holds a value holds its seed, so none is lost;
 the seeds met, short rows, are joined to the values, and only texts with a hit are fetched for the automaton. No list
-of secrets is collected or broadcast, and no text is passed more than twice.
+of secrets is collected or broadcast, and no text is passed more than twice. A text's key is its id and its hash, so
+different texts under one id stay apart. Patterns are tried only where an automaton over their first words stops.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -38,9 +41,10 @@ _VALUE = rf"""(?P<v>{_QUOTED}(?:[ \t]*[+.][ \t]*{_QUOTED})*|[^\s"'`,;&(){{}}\[\]
 _NAMES = r"passw(?:or)?d|passwd|passphrase|pass|pwd|secret|token|(?:api|license|encryption|private|access|signing|auth|secret|account|storage)[_\-]?key|creds?|credentials?|bearer"
 _KEYED = re.compile(rf"""(?i)(?:{_NAMES})["'`]?\]?[ \t]*(?::[ \t]*(?:const[ \t]+)?[A-Za-z][\w<>&:]*[ \t]*(?==))?(?::=|=>|=(?!=)|:(?!:\w))[ \t]*{_VALUE}""")
 _PARAM = re.compile(r"""(?i)[?&;](?:key|sig|signature|code|auth)=(?P<v>[^\s"'`&;]+)""")
+_URL_AT = re.compile(r"""(?<=[\w+.\-])://[^\s/:@"'`]*:(?P<v>[^\s/@"'`]+)@""")
 _URL = re.compile(r"""[A-Za-z][\w+.\-]*://[^\s/:@"'`]*:(?P<v>[^\s/@"'`]+)@""")
 _AUTH = re.compile(r"""(?i)(?:authorization["'`]?\]?[ \t]*[:=][ \t]*["'`]?(?:bearer|basic|token|digest|apikey)?|\b(?:bearer|basic))[ \t]+(?P<v>[A-Za-z0-9+/=_\-.~]{10,})""")
-_CALL = re.compile(r"""(?i)\b(?:\w*login|\w*connect|authenticate|\w*auth|sign_?in)[ \t]*\([ \t]*["'`][^"'`\n]*["'`][ \t]*,[ \t]*(?P<v>"[^"\n]*"|'[^'\n]*')""")
+_CALL = re.compile(r"""(?i)(?:login|connect|auth|\b(?:authenticate|sign_?in))[ \t]*\([ \t]*["'`][^"'`\n]*["'`][ \t]*,[ \t]*(?P<v>"[^"\n]*"|'[^'\n]*')""")
 _PROSE = re.compile(r"(?i)\b(?:password|passwd|passphrase|pass|pwd|token|secret|key|\w*(?:_key|_token|_secret|_pass|password|apikey))`?[ \t]*(?:is|to|=|:|as)?[ \t]*`(?P<v>[^`\s]+)`")
 _NOTE = re.compile(r"(?i)(?:#|//|--|/\*|^[ \t]*\*|<!--)[^\n]{0,60}?\b(?:login|pass|key|password|token|secret|pwd|cred|creds)[ \t]*[:=][ \t]*(?P<v>[^\s\"'`]+)", re.M)
 _FLAG = re.compile(r"""(?i)(?<!\S)(?:-u|--user)[ \t=]+[^\s:"'`]+:(?P<v>[^\s"'`]+)""")
@@ -90,38 +94,94 @@ def looks_secret(v: str) -> bool:
     return len(v) >= 10 and lower and upper and turns >= max(4, len(v) // 3) and not re.fullmatch(r"(?:[A-Z]?+[a-z]{2,}+)++", v)
 
 
-_TELLING = (_KEYED, _PARAM, _URL, _AUTH, _CALL, _PROSE, _NOTE, _FLAG)
-
-
 def _hash(v: str) -> int:
     return xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+#: What the names of ``_NAMES`` and the calls of ``_CALL`` begin with.
+_NAME_STARTS = ("pass", "pwd", "secret", "token", "api", "license", "encryption", "private", "access", "signing", "auth", "account", "storage", "cred", "bearer")
+_CALL_STARTS = ("login", "connect", "auth", "sign")
+_NOTE_WORDS = ("login", "pass", "key", "token", "secret", "pwd", "cred")
+_FORM_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk_live_", "rk_live_", "npm_", "AIza", "hf_", "SG.", "eyJ")
+
+
+@functools.cache
+def _starts():
+    """An automaton that tells where a name (1), a call (2) or both (3) may begin, and which words a note may hold (4)."""
+    import ahocorasick
+
+    machine, kinds = ahocorasick.Automaton(), {}
+    for words, kind in ((_NAME_STARTS, 1), (_CALL_STARTS, 2), (_NOTE_WORDS, 4)):
+        for w in words:
+            kinds[w] = kinds.get(w, 0) | kind
+    for w, kind in kinds.items():
+        machine.add_word(w, (len(w), kind))
+    machine.make_automaton()
+    return machine
+
+
+def _lowered(text: str) -> str:
+    """The text in lower case, position by position."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _told(text: str):
+    """(pattern, match) of the telling places of a text, pattern by pattern."""
+    low = _lowered(text)
+    names, calls, noted = [], [], False
+    for end, (size, kind) in _starts().iter(low):
+        if kind & 1:
+            names.append(end - size + 1)
+        if kind & 2:
+            calls.append(end - size + 1)
+        noted = noted or kind & 4
+    for pattern, places in ((_KEYED, names), (_CALL, calls)):
+        after = 0
+        for at in places:
+            if at >= after and (m := pattern.match(text, at)):
+                after = m.end()
+                yield pattern, m
+    if "=" in text:
+        yield from ((_PARAM, m) for m in _PARAM.finditer(text))
+    if "://" in text and "@" in text:
+        yield from ((_URL, m) for m in _URL_AT.finditer(text))
+    if "authorization" in low or "bearer" in low or "basic" in low:
+        yield from ((_AUTH, m) for m in _AUTH.finditer(text))
+    if noted and "`" in text:
+        yield from ((_PROSE, m) for m in _PROSE.finditer(text))
+    if noted:
+        yield from ((_NOTE, m) for m in _NOTE.finditer(text))
+    if "-u" in low:
+        yield from ((_FLAG, m) for m in _FLAG.finditer(text))
+
+
 def literals(text: str) -> list[tuple[int, int, str, str, str]]:
     """(start, end, value, place, prefix) of the literals of a text; place is telling, form, block, prefixed or loose."""
     found: dict[tuple[int, int], tuple[str, str, str]] = {}
-    for pattern in _TELLING:
-        for m in pattern.finditer(text):
-            a, b = m.span("v")
-            value = plain(m.group("v"))
-            if text[a] in "\"'`":
-                a, b = a + 1, b - 1
-            elif pattern is not _URL:
-                while value and value[-1] in ".:)":
-                    value, b = value[:-1], b - 1
-            inner = _URL.match(value)
-            if inner or value.startswith("-----BEGIN"):
-                continue  # found by its own pattern
-            if looks_secret(value):
-                p = _PREFIXED.fullmatch(value)
-                found.setdefault((a, b), (value, "telling", p.group("p") if p else ""))
-    for m in _FORMS.finditer(text):
-        found.setdefault(m.span(), (m.group(), "form", ""))
-    for m in _BLOCK.finditer(text):
-        end = _BLOCK_END.search(text, m.end())
-        nxt = _BLOCK.search(text, m.end())
-        stop = end.end() if end and (nxt is None or end.end() <= nxt.start()) else m.end()
-        found.setdefault((m.start(), stop), (text[m.start() : stop], "block", ""))
+    for pattern, m in _told(text):
+        a, b = m.span("v")
+        value = plain(m.group("v"))
+        if text[a] in "\"'`":
+            a, b = a + 1, b - 1
+        elif pattern is not _URL:
+            while value and value[-1] in ".:)":
+                value, b = value[:-1], b - 1
+        if _URL.match(value) or value.startswith("-----BEGIN"):
+            continue  # found by its own pattern
+        if looks_secret(value):
+            p = _PREFIXED.fullmatch(value)
+            found.setdefault((a, b), (value, "telling", p.group("p") if p else ""))
+    if any(w in text for w in _FORM_STARTS):
+        for m in _FORMS.finditer(text):
+            if not _PLACEHOLDER.match(m.group()):
+                found.setdefault(m.span(), (m.group(), "form", ""))
+    if "-----BEGIN" in text:
+        for m in _BLOCK.finditer(text):
+            end = _BLOCK_END.search(text, m.end())
+            nxt = _BLOCK.search(text, m.end())
+            stop = end.end() if end and (nxt is None or end.end() <= nxt.start()) else m.end()
+            found.setdefault((m.start(), stop), (text[m.start() : stop], "block", ""))
     for m in _PREFIXED.finditer(text):
         if len(_TURNS.findall(m.group("t"))) >= 6:
             found.setdefault(m.span(), (m.group(), "prefixed", m.group("p")))
@@ -131,34 +191,39 @@ def literals(text: str) -> list[tuple[int, int, str, str, str]]:
     return [(a, b, *x) for (a, b), x in sorted(found.items())]
 
 
-_FOUND = "id long, owner string, code long, value string, place string, prefix string, line int"
+_FOUND = "id long, version long, owner string, code long, value string, place string, prefix string"
 
 
 def _index(batches):
     for batch in batches:
-        ids, owners, code, value, place, prefix, line = [], [], [], [], [], [], []
-        for i, owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            for a, _, v, p, pre in literals(text):
-                ids.append(i)
-                owners.append(owner)
+        rows, code, value, place, prefix = [], [], [], [], []
+        for i, text in enumerate(batch.column(3).to_pylist()):
+            for _, _, v, p, pre in literals(text):
+                rows.append(i)
                 code.append(_hash(v))
                 value.append(None if p == "loose" else v)
                 place.append(p)
                 prefix.append(pre)
-                line.append(text.count("\n", 0, a) + 1)
-        cols = [pa.array(ids, pa.int64()), pa.array(owners, pa.string()), pa.array(code, pa.int64()), pa.array(value, pa.string()), pa.array(place, pa.string()), pa.array(prefix, pa.string()), pa.array(line, pa.int32())]
-        yield pa.RecordBatch.from_arrays(cols, ["id", "owner", "code", "value", "place", "prefix", "line"])
+        at = pa.array(rows, pa.int64())
+        cols = [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(code, pa.int64()), pa.array(value, pa.string()), pa.array(place, pa.string()), pa.array(prefix, pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, ["id", "version", "owner", "code", "value", "place", "prefix"])
 
 
-def confirmed(found: DataFrame, max_owners: int, min_prefix: int) -> DataFrame:
-    """(code, value) of confirmed secrets among indexed literals: rare, and in a telling place or of a confirmed form."""
+def confirmed(found: DataFrame, max_owners: int, max_share: float, min_prefix: int) -> DataFrame:
+    """(code, value) of confirmed secrets among indexed literals: rare, and in a telling place or of a confirmed form.
+
+    Rare is a value of at most ``max_owners`` owners, or ``max_share`` of all owners where that is more; a fixed form
+    or a key block counts however many have it.
+    """
     by_value = found.groupBy("code").agg(
         F.max("value").alias("value"),
         F.max(F.col("place").isin("telling", "form", "block")).alias("told"),
+        F.max(F.col("place").isin("form", "block")).alias("certain"),
         F.max("prefix").alias("prefix"),
         F.countDistinct("owner").alias("owners"),
     )
-    by_value = by_value.where(F.col("value").isNotNull() & (F.col("owners") <= max_owners))
+    owners = found.agg(F.countDistinct("owner")).first()[0]
+    by_value = by_value.where(F.col("value").isNotNull() & (F.col("certain") | (F.col("owners") <= max(max_owners, int(max_share * owners)))))
     prefixes = by_value.where("told and prefix <> ''").groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") >= min_prefix).select("prefix", F.lit(True).alias("known"))
     return by_value.join(prefixes, "prefix", "left").where("told or known").select("code", "value")
 
@@ -219,13 +284,13 @@ def _bit_table(seeds: DataFrame, bits: int) -> bytes:
 
 
 def _meet(shared, bits: int):
-    """(id, seed): runs of each text that have both bits set."""
+    """(id, version, seed): runs of each text that have both bits set."""
 
     def go(batches):
         table = np.frombuffer(shared.value, np.uint8)
         is_set = lambda slot: (table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
         for batch in batches:
-            for at, part in slices(batch.column(1)):
+            for at, part in slices(batch.column(2)):
                 body, off = raw(part)
                 runs = _runs(body)
                 where = np.flatnonzero(is_set(_slots(runs, bits)[0]))
@@ -233,17 +298,18 @@ def _meet(shared, bits: int):
                 row = np.searchsorted(off, where, "right") - 1
                 inside = where + SEED <= off[row + 1]
                 row, seed = row[inside], runs[where[inside]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + row)), pa.array(seed, pa.int64())], ["id", "seed"])
+                rows = pa.array(at + row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(seed, pa.int64())], ["id", "version", "seed"])
 
     return go
 
 
 def everywhere(base: DataFrame, secret: DataFrame) -> DataFrame:
-    """(id, value): each text with the values whose seed it holds; among them are all values that it holds."""
+    """(id, version, value): each text with the values whose seed it holds; among them are all values that it holds."""
     seeds = cut(_seeds(secret), "seeds")
     bits = min(_TABLE_BITS, max(_PART_BITS, math.ceil(math.log2(64 * max(1, seeds.count())))))
     shared = base.sparkSession.sparkContext.broadcast(_bit_table(seeds, bits))
-    return spread(base.select("id", "text")).mapInArrow(_meet(shared, bits), "id long, seed long").distinct().join(seeds, "seed").select("id", "value")
+    return spread(base.select("id", "version", "text")).mapInArrow(_meet(shared, bits), "id long, version long, seed long").distinct().join(seeds, "seed").select("id", "version", "value")
 
 
 def _spans(text: str, values: list[str]) -> list[tuple[int, int]]:
@@ -284,35 +350,46 @@ def mask(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def find_credentials(docs: DataFrame, id_col: str = "vec_id", owner_col: str = "project", text_col: str = "content", max_owners: int = 12, min_prefix: int = 3) -> DataFrame:
+def _scan(batches):
+    """(id, version, text, values) -> (id, version, lines, masked) of the texts that hold one of their values."""
+    for batch in batches:
+        rows, lines, masked = [], [], []
+        for i, (text, values) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            spans = _spans(text, values)
+            if spans:
+                rows.append(i)
+                lines.append(sorted({text.count("\n", 0, a) + 1 for a, _ in spans}))
+                masked.append(mask(text, spans))
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lines, pa.list_(pa.int64())), pa.array(masked, pa.string())], ["id", "version", "lines", "masked"])
+
+
+def _masked(docs: DataFrame, id_col: str, owner_col: str, text_col: str, max_owners: int, max_share: float, min_prefix: int) -> DataFrame:
+    """(id, version, lines, masked); version is the hash of the text."""
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("version"), F.coalesce(F.col(owner_col), F.lit("")).alias("owner"), F.col(text_col).alias("text")).where("id is not null and text is not null and text <> ''")
+    found = cut(spread(base).mapInArrow(_index, _FOUND), "literals")
+    secret = cut(confirmed(found, max_owners, max_share, min_prefix), "confirmed")
+    read = found.select("id", "version", "code").distinct().join(secret, "code").select("id", "version", "value")  # a sum of parts stands nowhere as one run
+    held = read.unionByName(everywhere(base, secret)).groupBy("id", "version").agg(F.collect_set("value").alias("values"))
+    hits = cut(held, "secrets")
+    wanted = base.select("id", "version", "text").join(hits, ["id", "version"]).select("id", "version", "text", "values")
+    return wanted.mapInArrow(_scan, "id long, version long, lines array<long>, masked string")
+
+
+def find_credentials(docs: DataFrame, id_col: str = "vec_id", owner_col: str = "project", text_col: str = "content", max_owners: int = 12, max_share: float = 0.2, min_prefix: int = 3) -> DataFrame:
     """(id, line_no list, masked): every text that holds credentials, the lines where one begins, and the masked text.
 
-    Lines count from 1. Null and empty texts hold none; repeated rows count once; a null owner is one owner of its
-    own. Texts without credentials give no row (see ``redact``). Ids must be integers.
+    Lines count from 1. Null and empty texts hold none; repeated rows count once, different texts under one id each
+    give a row; a null owner is one owner of its own. Texts without credentials give no row (see ``redact``). Ids must
+    be integers.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(owner_col), F.lit("")).alias("owner"), F.col(text_col).alias("text")).where("id is not null and text is not null and text <> ''")
-    found = cut(spread(base).mapInArrow(_index, _FOUND), "literals")
-    secret = cut(confirmed(found, max_owners, min_prefix), "confirmed")
-    read = found.select("id", "code").distinct().join(secret, "code").select("id", "value")  # a sum of parts stands nowhere as one run
-    hits = cut(read.unionByName(everywhere(base, secret)).distinct(), "secrets")
-    wanted = base.select("id", "text").join(hits.select("id").distinct(), "id", "left_semi")
-
-    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        values = right.column("value").to_pylist()
-        texts = left.column("text").to_pylist()
-        text = min(texts) if texts else ""
-        spans = _spans(text, values)
-        lines = sorted({text.count("\n", 0, a) + 1 for a, _ in spans})
-        if not texts or not lines:
-            return pa.table({"id": pa.array([], pa.int64()), "lines": pa.array([], pa.list_(pa.int64())), "masked": pa.array([], pa.string())})
-        return pa.table({"id": left.column("id").slice(0, 1), "lines": pa.array([lines], pa.list_(pa.int64())), "masked": pa.array([mask(text, spans)])})
-
-    made = wanted.groupBy("id").cogroup(hits.groupBy("id")).applyInArrow(scan, "id long, lines array<long>, masked string")
-    return made.select(F.col("id").alias(id_col), "lines", "masked")
-
-
-def redact(docs: DataFrame, id_col: str = "vec_id", text_col: str = "content", **how) -> DataFrame:
+    made = _masked(docs, id_col, owner_col, text_col, max_owners, max_share, min_prefix)
+    return made.dropDuplicates(["id", "version"]).select(F.col("id").alias(id_col), "lines", "masked")
+
+
+def redact(docs: DataFrame, id_col: str = "vec_id", owner_col: str = "project", text_col: str = "content", max_owners: int = 12, max_share: float = 0.2, min_prefix: int = 3) -> DataFrame:
     """All rows of ``docs`` with ``text_col`` masked where it holds credentials; everything else is as it was."""
-    masked = find_credentials(docs, id_col, text_col=text_col, **how).select(F.col(id_col).alias("__id"), F.col("masked").alias("__masked"))
-    joined = docs.join(masked, F.col(id_col).cast("long") == F.col("__id"), "left")
+    made = _masked(docs, id_col, owner_col, text_col, max_owners, max_share, min_prefix).dropDuplicates(["id", "version"])
+    masked = made.select(F.col("id").alias("__id"), F.col("version").alias("__version"), F.col("masked").alias("__masked"))
+    joined = docs.join(masked, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__version")), "left")
     return joined.select(*[F.coalesce("__masked", F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
