@@ -10,7 +10,7 @@ there; an automaton over those that can stand in a text gives all lines and the
 
 Plan: one map over the texts gives short rows of hashes and values. They are grouped by value with partial counts (a
 value in a third of all texts is folded before the shuffle). Every confirmed value has a seed, its rarest run of
-``SEED`` bytes; a bit table of the seeds' hashes, at most 2 ** ``_TABLE_BITS`` bits at any size, is broadcast, and a
+``SEED`` bytes; a bit table of the seeds' hashes, of at most 8 MB at any size (``bittable``), is broadcast, and a
 second map tests every position of every text against it. A text that holds a value holds its seed, so none is lost;
 the seeds met, short rows, are joined to the values, and only texts with a hit are fetched for the automaton. No list
 of secrets is collected or broadcast, and no text is passed more than twice. A text's key is its id and its hash, so
@@ -20,7 +20,6 @@ different texts under one id stay apart. Patterns are tried only where an automa
 from __future__ import annotations
 
 import functools
-import math
 import re
 
 import numpy as np
@@ -29,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftlode.llm import bittable
 from siftlode.llm.textkernel import U64, raw, slices
 from siftlode.runtime import cut, spread
 
 #: Bytes of a seed. No value is shorter: ``looks_secret`` and the fixed forms ask for at least as many characters.
 SEED = 8
-_TABLE_BITS, _PART_BITS = 26, 15
 
 _QUOTED = r"""(?:"[^"\n]*"|'[^'\n]*'|`[^`\n]*`)"""
 _VALUE = rf"""(?P<v>{_QUOTED}(?:[ \t]*[+.][ \t]*{_QUOTED})*|[^\s"'`,;&(){{}}\[\]<>|]+)"""
@@ -246,13 +245,6 @@ def _runs(body: bytes) -> np.ndarray:
     return np.ndarray((max(0, len(body) - SEED + 1),), "<u8", body, strides=(1,)) if len(body) >= SEED else np.empty(0, U64)
 
 
-def _slots(runs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of each run in a table of 2 ** ``bits``."""
-    h = runs * U64(0x9E3779B97F4A7C15)
-    again = (h ^ h >> U64(29)) * U64(0xBF58476D1CE4E5B9)
-    return (h >> U64(64 - bits)).astype(np.int64), (again >> U64(64 - bits)).astype(np.int64)
-
-
 def _seeds(secret: DataFrame) -> DataFrame:
     """(seed, value): of each value the run that the fewest values share, so that a common head (of a key block, of a
     token) is no join key; then one with many characters that are no letters, so that it is no word."""
@@ -262,39 +254,15 @@ def _seeds(secret: DataFrame) -> DataFrame:
     return rarest.join(secret, "code").select("seed", "value")
 
 
-def _bit_table(seeds: DataFrame, bits: int) -> bytes:
-    """The bits of all seeds, put together part by part on the executors."""
-    part_bits = min(bits, _PART_BITS)
-
-    def slots(batches):
-        for batch in batches:
-            slot = np.unique(np.concatenate(_slots(batch.column(0).to_numpy().view(U64), bits)))
-            yield pa.RecordBatch.from_arrays([pa.array((slot >> part_bits).astype(np.int32)), pa.array((slot & (1 << part_bits) - 1).astype(np.int32))], ["part", "bit"])
-
-    def pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        flag = np.zeros(1 << part_bits, bool)
-        flag[rows.column("bit").to_numpy()] = True
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(flag, bitorder="little").tobytes()], pa.binary())})
-
-    table = np.zeros((1 << bits) // 8, np.uint8)
-    size = (1 << part_bits) // 8
-    for r in seeds.select("seed").mapInArrow(slots, "part int, bit int").distinct().groupBy("part").applyInArrow(pack, "part int, bits binary").collect():
-        table[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return table.tobytes()
-
-
 def _meet(shared, bits: int):
-    """(id, version, seed): runs of each text that have both bits set."""
+    """(id, version, seed): runs of each text that are in the bit table."""
 
     def go(batches):
-        table = np.frombuffer(shared.value, np.uint8)
-        is_set = lambda slot: (table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
         for batch in batches:
             for at, part in slices(batch.column(2)):
                 body, off = raw(part)
                 runs = _runs(body)
-                where = np.flatnonzero(is_set(_slots(runs, bits)[0]))
-                where = where[is_set(_slots(runs[where], bits)[1])]
+                where = bittable.members(shared.value, runs, bits)
                 row = np.searchsorted(off, where, "right") - 1
                 inside = where + SEED <= off[row + 1]
                 row, seed = row[inside], runs[where[inside]].view(np.int64)
@@ -307,8 +275,8 @@ def _meet(shared, bits: int):
 def everywhere(base: DataFrame, secret: DataFrame) -> DataFrame:
     """(id, version, value): each text with the values whose seed it holds; among them are all values that it holds."""
     seeds = cut(_seeds(secret), "seeds")
-    bits = min(_TABLE_BITS, max(_PART_BITS, math.ceil(math.log2(64 * max(1, seeds.count())))))
-    shared = base.sparkSession.sparkContext.broadcast(_bit_table(seeds, bits))
+    bits = bittable.bits_for(seeds.count())
+    shared = base.sparkSession.sparkContext.broadcast(bittable.build(seeds, "seed", bits))
     return spread(base.select("id", "version", "text")).mapInArrow(_meet(shared, bits), "id long, version long, seed long").distinct().join(seeds, "seed").select("id", "version", "value")
 
 

@@ -1,12 +1,15 @@
 """Evaluation texts leaking into training text.
 
 Method: greedy string tiling with running Karp-Rabin. Windows of ``min_match`` words of every document are hashed by
-prefix sums and looked up among the windows of the evaluation items (shared-token seeds). For each document and item
-with a seed, the longest common run of words that is not yet marked is marked in both, again and again, until none of
-``min_match`` words is left. The tiles' share of the item catches passages whose parts were reordered.
-
-Plan: the items are a stated query set. They go in blocks of at most ``block_chars`` characters, each broadcast to
-one map-only pass over the documents; no document is shuffled and only tiles leave the tasks.
+prefix sums and joined with the windows of the evaluation items (shared-token seeds). For each document and item with
+a seed, the longest common run of words that is not yet marked is marked in both, again and again, until none of
+``min_match`` words is left. The tiles' share of the item is tested against a threshold, which catches passages whose
+parts were reordered.
+
+Plan: the items' window hashes are a table; a bit table of them, of at most 8 MB at any number of items, is broadcast,
+and one map-only pass over the documents, however many items there are, gives the windows that may be among them as
+short rows (document, hash, position). These are joined with the items' windows by hash and grouped by document and
+item. No text is shuffled, and no item comes to the driver.
 """
 
 from __future__ import annotations
@@ -17,12 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from siftlode.llm import bittable
 from siftlode.llm.textkernel import slices, windows_hash, word_hashes
-from siftlode.runtime import pieces
-
-_BITS = 1 << 22
+from siftlode.runtime import cut, spread
 
 
 def tile(seeds_a: np.ndarray, seeds_b: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
@@ -58,23 +59,6 @@ def tile(seeds_a: np.ndarray, seeds_b: np.ndarray, min_match: int) -> list[tuple
     return tiles
 
 
-class _Items:
-    """Word hashes of a block of items and the sorted hashes of their windows."""
-
-    def __init__(self, ids: list, texts: list, size: int):
-        self.ids, self.size = ids, size
-        values, off = word_hashes(pa.array(texts, pa.string()), True)
-        self.words = np.diff(off)
-        start = _starts(off, size)
-        code = windows_hash(values, start, size)
-        order = np.argsort(code, kind="stable")
-        self.code = code[order]
-        item = np.searchsorted(off, start, side="right") - 1
-        self.item, self.pos = item[order], (start - off[item])[order]
-        self.flag = np.zeros(_BITS, bool)
-        self.flag[(self.code % np.uint64(_BITS)).astype(np.int64)] = True
-
-
 def _starts(off: np.ndarray, size: int) -> np.ndarray:
     """Positions at which a window of ``size`` stays inside its row."""
     count = np.maximum(np.diff(off) - size + 1, 0)
@@ -82,69 +66,63 @@ def _starts(off: np.ndarray, size: int) -> np.ndarray:
     return np.repeat(off[:-1] - base, count) + np.arange(count.sum())
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "item_text", min_match: int = 15, min_coverage: float = 0.0, block_chars: int = 4_000_000) -> DataFrame:
-    """(doc, item, tiles, longest, covered, coverage): documents that hold runs of at least ``min_match`` words of an item.
-
-    Words are maximal runs of letters and digits of any script, lower-cased. ``covered`` counts the item's words in
-    tiles, ``coverage`` its share of the item's words; rows under ``min_coverage`` are left out. Null and empty texts
-    and items shorter than ``min_match`` words match nothing; repeated rows count once; only the named columns are
-    read.
-    """
-    spark = docs.sparkSession
-    corpus = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("text is not null")
-    tests = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
-    total = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = pieces(total, block_chars)
-    item_type, doc_type = tests.schema["item"].dataType, corpus.schema["doc"].dataType
-    schema = T.StructType(
-        [T.StructField("doc", doc_type), T.StructField("item", item_type)]
-        + [T.StructField(c, T.IntegerType()) for c in ("tiles", "longest", "covered")]
-        + [T.StructField("coverage", T.DoubleType())]
-    )
-    found = None
-    for k in range(n):
-        block = tests.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()
-        shared = spark.sparkContext.broadcast(_Items([r["item"] for r in block], [r["text"] for r in block], min_match))
-        part = corpus.mapInArrow(_finder(shared, min_match, min_coverage, schema), schema)
-        found = part if found is None else found.unionByName(part)
-    return found.distinct().select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "tiles", "longest", "covered", "coverage")
-
-
-def _finder(shared, size: int, min_coverage: float, schema: T.StructType):
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
+def _windows(size: int, shared=None, bits: int = 0):
+    """(rows of a key, version, text) -> (row, version, code, pos, words): windows of ``size`` words; with a bit table, those in it."""
 
     def run(batches):
-        items = shared.value
         for batch in batches:
-            rows = []
-            for at, part in slices(batch.column(1)):
+            for at, part in slices(batch.column(2)):
                 values, off = word_hashes(part, True)
                 start = _starts(off, size)
-                if not len(start) or not len(items.code):
+                if not len(start):
                     continue
                 code = windows_hash(values, start, size)
-                hit = np.flatnonzero(items.flag[(code % np.uint64(_BITS)).astype(np.int64)])
-                lo, hi = np.searchsorted(items.code, code[hit], "left"), np.searchsorted(items.code, code[hit], "right")
-                many = hi - lo
-                if not many.sum():
-                    continue
-                which = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                where = np.repeat(start[hit], many)
-                doc = np.searchsorted(off, where, side="right") - 1
-                item, pos = items.item[which], items.pos[which]
-                pair = doc * len(items.ids) + item
-                order = np.argsort(pair, kind="stable")
-                cuts = np.flatnonzero(np.diff(pair[order])) + 1
-                for group in np.split(order, cuts):
-                    d, i = int(doc[group[0]]), int(item[group[0]])
-                    tiles = tile(where[group] - off[d], pos[group], size)
-                    covered = sum(t[2] for t in tiles)
-                    share = covered / int(items.words[i])
-                    if share >= min_coverage:
-                        rows.append((batch.column(0)[at + d].as_py(), items.ids[i], len(tiles), max(t[2] for t in tiles), covered, share))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+                if shared is not None:
+                    hit = bittable.members(shared.value, code, bits)
+                    start, code = start[hit], code[hit]
+                row = np.searchsorted(off, start, side="right") - 1
+                rows = pa.array(row + at)
+                cols = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(code.view(np.int64)), pa.array((start - off[row]).astype(np.int32)), pa.array(np.diff(off)[row].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, [batch.schema.names[0], "version", "code", "pos", "words"])
 
     return run
+
+
+def _tiled(size: int):
+    """(seeds) -> (tiles, longest, covered) of each pair."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_columns - 1
+            made = []
+            for seeds in batch.column(n):
+                a, b = (seeds.values.field(k).to_numpy() for k in ("a", "b"))
+                tiles = tile(a, b, size)
+                made.append((len(tiles), max(t[2] for t in tiles), sum(t[2] for t in tiles)))
+            cols = [pa.array([m[k] for m in made], pa.int32()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *cols], [*batch.schema.names[:n], "tiles", "longest", "covered"])
+
+    return run
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "item_text", min_match: int = 15, min_coverage: float = 0.0) -> DataFrame:
+    """(doc, item, tiles, longest, covered, coverage): documents that hold runs of at least ``min_match`` words of an item.
+
+    Words are maximal runs of letters and digits of any script, lower-cased. ``covered`` counts the item's words in
+    tiles, ``coverage`` its share of the item's words; rows under ``min_coverage`` are left out. Null and empty texts
+    and items shorter than ``min_match`` words match nothing; repeated rows count once, different texts under one id
+    each for themselves; only the named columns are read.
+    """
+    corpus = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text")).where("text is not null")
+    tests = items.select(F.col(item_col).alias("item"), F.xxhash64(item_text_col).alias("version"), F.col(item_text_col).alias("text")).where("text is not null")
+    kinds = {"doc": dict(corpus.dtypes)["doc"], "item": dict(tests.dtypes)["item"]}
+    shape = lambda k: f"{k} {kinds[k]}, version long, code long, pos int, words int"
+    wanted = cut(tests.mapInArrow(_windows(min_match), shape("item")).distinct(), "item-windows")
+    bits = bittable.bits_for(wanted.count())
+    shared = docs.sparkSession.sparkContext.broadcast(bittable.build(wanted, "code", bits))
+    met = spread(corpus).mapInArrow(_windows(min_match, shared, bits), shape("doc")).select("doc", F.col("version").alias("doc_version"), "code", F.col("pos").alias("a"))
+    seeds = met.join(wanted.select("item", F.col("version").alias("item_version"), "code", F.col("pos").alias("b"), "words"), "code")
+    pairs = seeds.groupBy("doc", "doc_version", "item", "item_version").agg(F.max("words").alias("words"), F.collect_set(F.struct("a", "b")).alias("seeds"))
+    schema = f"doc {kinds['doc']}, doc_version long, item {kinds['item']}, item_version long, words int, tiles int, longest int, covered int"
+    made = pairs.mapInArrow(_tiled(min_match), schema).withColumn("coverage", F.col("covered") / F.col("words"))
+    return made.where(F.col("coverage") >= min_coverage).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "tiles", "longest", "covered", "coverage").distinct()

@@ -67,7 +67,15 @@ def p8_ids(spark, sf_dir):
 
 
 def p9_found(spark, sf_dir):
-    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+    """Documents with a tile of at least 15 words of an item."""
+    leaks = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.where("longest >= 15").select("doc_id", "item_id").distinct()
+
+
+def p9_reordered(spark, sf_dir):
+    """Documents that hold half of an item or more in tiles of at least 5 words, in whatever order."""
+    leaks = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), min_match=5, min_coverage=0.5)
+    return leaks.groupBy("doc_id", "item_id").agg(F.round(F.max("coverage"), 6).alias("coverage"))
 
 
 def p9_items(spark, sf_dir):
@@ -86,7 +94,7 @@ def p10_hosts(spark, sf_dir):
     return pages.groupBy("source").agg(F.count("*").alias("pages"), F.sum(F.when(F.col("score") > 0, 1).otherwise(0)).alias("stuffed"), F.round(F.max("host_rate"), 6).alias("host_rate"))
 
 
-_QUERIES = (p2_found, p2_classes, p3_found, p3_rates, p4_found, p4_redacted, p5_found, p6_found, p6_labels, p7_found, p7_pieces, p8_ids, p9_found, p9_items, p10_found, p10_hosts)
+_QUERIES = (p2_found, p2_classes, p3_found, p3_rates, p4_found, p4_redacted, p5_found, p6_found, p6_labels, p7_found, p7_pieces, p8_ids, p9_found, p9_items, p9_reordered, p10_found, p10_hosts)
 
 
 def queries() -> dict:

@@ -74,13 +74,26 @@ def test_leaks_against_brute_force(spark):
     docs += [(50, None), (51, ""), (52, " ".join(items[0][1].split()[15:] + items[0][1].split()[:15]))]
     d = spark.createDataFrame(docs + docs[:2], "doc_id long, text string")
     i = spark.createDataFrame(items + items[:1], "item_id long, item_text string")
-    got = leakage.find_leaks(d, i, min_match=8, block_chars=300).collect()
+    got = leakage.find_leaks(d, i, min_match=8).collect()
     assert {(r.doc_id, r.item_id) for r in got} == brute_leaks(docs, items, 8) and len(got) == len({(r.doc_id, r.item_id) for r in got})
     moved = next(r for r in got if (r.doc_id, r.item_id) == (52, 0))
     assert moved.covered == 30 and moved.tiles == 2 and moved.longest == 15 and moved.coverage == 1.0
     assert leakage.find_leaks(d.limit(0), i).count() == 0 and leakage.find_leaks(d, i.limit(0)).count() == 0
 
 
+def test_coverage_decides_reordered_passages(spark):
+    words = [f"w{k}" for k in range(40)]
+    parts = [words[k : k + 8] for k in range(0, 40, 8)]
+    mixed = " ".join(w for k in (3, 0, 4, 1, 2) for w in [*parts[k], "between"])
+    docs = [(1, mixed), (2, " ".join(parts[2]) + " and nothing else"), (3, " ".join(parts[0] + ["x"] + parts[4])), (1, " ".join(words))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(7, " ".join(words))], "item_id long, item_text string")
+    found = lambda **how: sorted((r.doc_id, r.tiles, r.longest, r.covered) for r in leakage.find_leaks(d, i, **how).collect())
+    assert found(min_match=5) == [(1, 1, 40, 40), (1, 5, 8, 40), (2, 1, 8, 8), (3, 2, 8, 16)]
+    assert found(min_match=5, min_coverage=0.5) == [(1, 1, 40, 40), (1, 5, 8, 40)]
+    assert found() == [(1, 1, 40, 40)]
+
+
 def test_tiles_do_not_overlap():
     a = np.array([0, 1, 2, 10, 11, 0])
     b = np.array([5, 6, 7, 6, 7, 20])
