@@ -66,6 +66,11 @@ def p8_ids(spark, sf_dir):
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p8_text(spark, sf_dir):
+    """All texts again, decoded from their ids."""
+    return tokens.decode_corpus(tokens.encode_corpus(table(spark, sf_dir, "documents")))
+
+
 def p9_found(spark, sf_dir):
     """Documents with a tile of at least 15 words of an item."""
     leaks = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -94,7 +99,7 @@ def p10_hosts(spark, sf_dir):
     return pages.groupBy("source").agg(F.count("*").alias("pages"), F.sum(F.when(F.col("score") > 0, 1).otherwise(0)).alias("stuffed"), F.round(F.max("host_rate"), 6).alias("host_rate"))
 
 
-_QUERIES = (p2_found, p2_classes, p3_found, p3_rates, p4_found, p4_redacted, p5_found, p6_found, p6_labels, p7_found, p7_pieces, p8_ids, p9_found, p9_items, p9_reordered, p10_found, p10_hosts)
+_QUERIES = (p2_found, p2_classes, p3_found, p3_rates, p4_found, p4_redacted, p5_found, p6_found, p6_labels, p7_found, p7_pieces, p8_ids, p8_text, p9_found, p9_items, p9_reordered, p10_found, p10_hosts)
 
 
 def queries() -> dict:
@@ -109,6 +114,7 @@ s as (select distinct vec_id, lower(w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])
 n as (select vec_id, count(*) as n from s group by 1),
 p as (select a.vec_id as vec_id_a, b.vec_id as vec_id_b, count(*) as c from s a join s b on a.g = b.g and a.vec_id < b.vec_id group by 1, 2)
 select vec_id_a, vec_id_b from p join n x on x.vec_id = vec_id_a join n y on y.vec_id = vec_id_b where c >= 0.6 * (x.n + y.n - c)""",
+        "p8_text": "select distinct doc_id, coalesce(text, '') as text from documents",
         "p9_found": """
 with w as (select doc_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) as w from documents where text is not null),
 i as (select item_id, list_transform(regexp_extract_all(item_text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) as w from eval_items where item_text is not null),

@@ -7,7 +7,9 @@ Plan: documents are hashed into blocks of about ``block_chars`` characters. The
 written once; the distinct words among them are encoded in Python (vectorised by partition) and joined back by
 word. Each block then meets its own small dictionary in a co-grouped Arrow function, where ids are gathered by
 position with vector operations. Only block-sized groups are ever held, the positions of words are never shuffled,
-and nothing is broadcast. A word in every block (a hot join key) is split by adaptive skew handling.
+and of the vocabulary only its file, of a fixed size, is sent to the executors. A word in every block (a hot join key)
+is split by adaptive skew handling. Decoding joins (block of positions, id) rows with the id-to-piece table and puts
+the pieces together block by block, in time linear in the text.
 """
 
 from __future__ import annotations
@@ -30,23 +32,27 @@ def default_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
     return os.path.join(os.environ.get("SIFTLODE_TOKENIZERS", "/opt/tokenizers"), name)
 
 
-def load_ranks(path: str) -> dict[bytes, int]:
-    """Piece bytes -> id of a rank file (one base64 piece and its id a line)."""
-    with open(path, "rb") as f:
-        return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f) if piece}
+def load_ranks(body: bytes) -> dict[bytes, int]:
+    """Piece bytes -> id of the lines of a rank file (one base64 piece and its id a line)."""
+    return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, body.splitlines()) if piece}
 
 
-def _encoder(path: str):
+def _encoder(body: bytes):
     import tiktoken
 
-    return tiktoken.Encoding("corpus", pat_str=r"[\s\S]+", mergeable_ranks=load_ranks(path), special_tokens={})
+    return tiktoken.Encoding("corpus", pat_str=r"[\s\S]+", mergeable_ranks=load_ranks(body), special_tokens={})
 
 
 def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """(word) -> (word, ids): every row is encoded on its own, as one piece, without special tokens."""
+    """(word) -> (word, ids): every row is encoded on its own, as one piece, without special tokens.
+
+    The vocabulary is read on the driver and sent along, so executors need not have it.
+    """
+    with open(vocabulary, "rb") as f:
+        shared = words.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        encode = _encoder(vocabulary)._encode_single_piece
+        encode = _encoder(shared.value)._encode_single_piece
         for batch in batches:
             word = batch.column(0)
             ids = [encode(w.encode("utf-8")) for w in word.to_pylist()]
@@ -117,23 +123,26 @@ def encode_corpus(docs: DataFrame, vocabulary: str | None = None, id_col: str =
 
 
 def piece_table(spark, vocabulary: str | None = None) -> DataFrame:
-    """(id, piece BINARY) of a vocabulary: as many rows as the vocabulary has pieces, a fixed number."""
-    rows = [(rank, bytearray(piece)) for piece, rank in load_ranks(vocabulary or default_vocabulary()).items()]
-    return spark.createDataFrame(rows, "id int, piece binary")
+    """(id, piece): the pieces of a vocabulary in hexadecimal, as many rows as it has pieces, a fixed number."""
+    with open(vocabulary or default_vocabulary(), "rb") as f:
+        rows = [(rank, piece.hex()) for piece, rank in load_ranks(f.read()).items()]
+    return cut(spark.createDataFrame(rows, "id int, piece string"), "pieces")
 
 
-def decode_corpus(coded: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", ids_col: str = "ids", block_ids: int = 500_000) -> DataFrame:
+def decode_corpus(coded: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", ids_col: str = "ids", block_ids: int = 10_000) -> DataFrame:
     """(id, text): the texts back from ids, by a join of positions with the id-to-piece table.
 
-    An empty or null array gives the empty text. The piece table has a fixed size (one row per vocabulary entry), so
-    it may be broadcast.
+    Positions go in blocks of ``block_ids``, so no group holds more than that many pieces, and blocks of one text meet
+    as strings. An empty or null array gives the empty text, an id that the vocabulary lacks nothing; repeated rows
+    count once, different arrays under one id each give a row. Bytes that are no UTF-8 become U+FFFD.
     """
-    spark = coded.sparkSession
-    base = coded.select(F.col(id_col).alias("doc"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
-    pos = base.select("doc", F.posexplode("ids").alias("pos", "id"))
-    pieced = pos.join(F.broadcast(piece_table(spark, vocabulary)), "id")
-    texts = pieced.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("p"))
-    joined = F.aggregate("p", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["piece"]))
-    return base.select("doc").distinct().join(texts, "doc", "left").select(
-        F.col("doc").alias(id_col), F.coalesce(F.decode(joined, "UTF-8"), F.lit("")).alias("text")
-    )
+    none = F.array().cast("array<int>")
+    base = coded.select(F.col(id_col).alias("doc"), F.coalesce(F.col(ids_col), none).alias("ids")).withColumn("version", F.xxhash64("ids"))
+    pos = base.select("doc", "version", F.posexplode("ids").alias("pos", "id"))
+    pieced = pos.join(piece_table(coded.sparkSession, vocabulary), "id")
+    block = (F.col("pos") / block_ids).cast("int")
+    run = lambda rows: F.array_join(F.transform(F.array_sort(rows), lambda x: x["piece"]), "")
+    blocks = pieced.groupBy("doc", "version", block.alias("pos")).agg(run(F.collect_set(F.struct("pos", "piece"))).alias("piece"))
+    texts = blocks.groupBy("doc", "version").agg(run(F.collect_list(F.struct("pos", "piece"))).alias("hex"))
+    all_ = base.select("doc", "version").distinct().join(texts, ["doc", "version"], "left")
+    return all_.select(F.col("doc").alias(id_col), F.coalesce(F.decode(F.unhex("hex"), "UTF-8"), F.lit("")).alias("text"))

@@ -25,6 +25,11 @@ def reference_encode(texts):
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def back_of(piece):
+    with open(tokens.default_vocabulary(), "rb") as f:
+        return {v: k for k, v in tokens.load_ranks(f.read()).items()}[piece].decode()
+
+
 def test_encoding_matches_the_tokenizer_and_decodes(spark):
     rows = [(k, t, "x", "y", "z", 1) for k, t in enumerate(TEXTS)]
     df = spark.createDataFrame(rows + rows[:3], CLASH)
@@ -34,6 +39,9 @@ def test_encoding_matches_the_tokenizer_and_decodes(spark):
     assert found == dict(enumerate(reference_encode([t or "" for t in TEXTS])))
     back = {r.doc_id: r.text for r in tokens.decode_corpus(got).collect()}
     assert back == {k: t or "" for k, t in enumerate(TEXTS)}
+    assert {r.doc_id: r.text for r in tokens.decode_corpus(got, block_ids=3).collect()} == back
+    odd = spark.createDataFrame([(1, [64, 64]), (1, [64, 64]), (1, []), (2, None), (3, [10**9])], "doc_id long, ids array<int>")
+    assert sorted((r.doc_id, r.text) for r in tokens.decode_corpus(odd).collect()) == [(1, ""), (1, back_of(64) * 2), (2, ""), (3, "")]
 
 
 def test_encoding_nothing(spark):
