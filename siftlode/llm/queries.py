@@ -54,7 +54,8 @@ def p6_labels(spark, sf_dir):
 
 
 def p7_found(spark, sf_dir):
-    return splitting.find_boundaries(table(spark, sf_dir, "code_chunks"))
+    """The natural boundaries in the successor tables of all oversized chunks."""
+    return splitting.boundary_table(table(spark, sf_dir, "code_chunks")).select("chunk_id", "line_no").distinct()
 
 
 def p7_pieces(spark, sf_dir):
@@ -62,6 +63,14 @@ def p7_pieces(spark, sf_dir):
     return splitting.split_chunks(table(spark, sf_dir, "code_chunks"))
 
 
+def p7_joined(spark, sf_dir):
+    """All chunks again, from the pieces without what they repeat, with their longest piece."""
+    pieces = splitting.split_chunks(table(spark, sf_dir, "code_chunks"))
+    own = F.expr("substring(content, own_from + 1)")
+    parts = pieces.groupBy("chunk_id").agg(F.array_sort(F.collect_set(F.struct("piece", own.alias("own")))).alias("p"), F.max(F.length("content")).alias("longest"))
+    return parts.select("chunk_id", F.array_join(F.transform("p", lambda x: x["own"]), "").alias("content"), (F.col("longest") <= 2500).alias("within"))
+
+
 def p8_ids(spark, sf_dir):
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -99,7 +108,7 @@ def p10_hosts(spark, sf_dir):
     return pages.groupBy("source").agg(F.count("*").alias("pages"), F.sum(F.when(F.col("score") > 0, 1).otherwise(0)).alias("stuffed"), F.round(F.max("host_rate"), 6).alias("host_rate"))
 
 
-_QUERIES = (p2_found, p2_classes, p3_found, p3_rates, p4_found, p4_redacted, p5_found, p6_found, p6_labels, p7_found, p7_pieces, p8_ids, p8_text, p9_found, p9_items, p9_reordered, p10_found, p10_hosts)
+_QUERIES = (p2_found, p2_classes, p3_found, p3_rates, p4_found, p4_redacted, p5_found, p6_found, p6_labels, p7_found, p7_pieces, p7_joined, p8_ids, p8_text, p9_found, p9_items, p9_reordered, p10_found, p10_hosts)
 
 
 def queries() -> dict:
@@ -114,6 +123,7 @@ s as (select distinct vec_id, lower(w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])
 n as (select vec_id, count(*) as n from s group by 1),
 p as (select a.vec_id as vec_id_a, b.vec_id as vec_id_b, count(*) as c from s a join s b on a.g = b.g and a.vec_id < b.vec_id group by 1, 2)
 select vec_id_a, vec_id_b from p join n x on x.vec_id = vec_id_a join n y on y.vec_id = vec_id_b where c >= 0.6 * (x.n + y.n - c)""",
+        "p7_joined": "select distinct chunk_id, content, true as within from code_chunks where content is not null",
         "p8_text": "select distinct doc_id, coalesce(text, '') as text from documents",
         "p9_found": """
 with w as (select doc_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) as w from documents where text is not null),

@@ -1,13 +1,14 @@
 """Splitting oversized items at natural boundaries.
 
-Method: pointer doubling. Every place where a piece may begin points to the farthest legal place where the next one
-may begin, overlap included; the successor table is squared again and again, and with each square the set of places
-reached from the start doubles, until it holds all greedy cuts. The tables of all items of a batch are squared
-together, as one flat array.
+Method: pointer doubling. Every boundary where a piece may begin points to the farthest legal boundary where the next
+one may begin, overlap included; the successor table is squared again and again, and with each square the set of
+boundaries reached from the start doubles, until it holds all greedy cuts. The tables of all items of a batch are
+squared together, as one flat array.
 
 Natural boundaries are the lines where a top-level definition or a Markdown heading begins; comments, decorators and
 attributes directly above a definition belong to it. Where a window holds none, a piece ends at the last empty line,
-else the last line, else the last blank, else at the limit.
+else the last line, else the last blank, else at the limit. Blanks and single characters are in a table only where a
+stretch without a stronger boundary is longer than a window, so a table has about as many rows as an item has lines.
 """
 
 from __future__ import annotations
@@ -137,65 +138,61 @@ def _balance(line: str) -> int:
     return sum(line.count(c) for c in "([{") - sum(line.count(c) for c in ")]}")
 
 
-def find_boundaries(chunks: DataFrame, limit: int = 2500, id_col: str = "chunk_id", content_col: str = "content", language_col: str = "language", path_col: str = "file_path") -> DataFrame:
-    """(id, line_no) of the natural boundaries of every chunk of more than ``limit`` code points.
-
-    Null, empty and shorter chunks have none; repeated rows count once; a null or unknown language is taken from the
-    path's extension. Only the named columns are read.
-    """
-    kind = dict(chunks.dtypes)[id_col]
-    base = chunks.select(F.col(id_col).alias("id"), language_for(F.col(language_col), F.col(path_col)).alias("lang"), F.col(content_col).alias("text")).where(F.length("text") > limit)
-
-    def run(batches):
-        for batch in batches:
-            row, line = [], []
-            for i, (lang, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                lines = boundaries(text, lang)
-                row += [i] * len(lines)
-                line += lines
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(line, pa.int64())], ["id", "line_no"])
+_RANK = {"definition": 4, "paragraph": 3, "line": 2, "word": 1}
 
-    return spread(base).mapInArrow(run, f"id {kind}, line_no long").distinct().withColumnRenamed("id", id_col)
 
+def _filled(pos: np.ndarray, rank: np.ndarray, more: np.ndarray, level: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """With the places ``more``, of rank ``level``, wherever two neighbours lie ``gap`` or more apart."""
+    wide = np.flatnonzero(np.diff(pos) >= gap)
+    if not len(wide):
+        return pos, rank
+    inside = np.zeros(len(more), bool)
+    for k in wide:
+        inside[np.searchsorted(more, pos[k], "right") : np.searchsorted(more, pos[k + 1])] = True
+    both = np.concatenate([pos, more[inside]])
+    order = np.argsort(both, kind="stable")
+    return both[order], np.concatenate([rank, np.full(inside.sum(), level, np.int8)])[order]
 
-_RANK = {"definition": 4, "paragraph": 3, "line": 2, "word": 1}
 
+def places(text: str, lang: str | None, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions where a piece may begin, how natural each is, and the line of each that is a definition, else 0.
 
-def _places(text: str, lang: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions where a piece may begin, and how natural each is; 0 and the end are among them."""
+    0 and the end are among them.
+    """
     n = len(text)
-    rank = np.zeros(n + 1, np.int8)
     chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    blank = (chars == 32) | (chars == 9)
-    after = np.flatnonzero(blank) + 1
-    rank[after] = _RANK["word"]
-    ends = np.flatnonzero(chars == 10) + 1
-    rank[ends] = _RANK["line"]
-    start = np.concatenate([[0], ends])
+    start = np.concatenate([[0], np.flatnonzero(chars == 10) + 1])
     size = np.diff(np.append(start, n + 1)) - 1
+    rank = np.full(len(start), _RANK["line"], np.int8)
     empty = np.array([not text[a : a + s].strip() for a, s in zip(start, size)], bool)
-    follow = np.flatnonzero(empty[:-1]) + 1
-    rank[start[follow]] = _RANK["paragraph"]
-    for line in boundaries(text, lang):
-        rank[start[line - 1]] = _RANK["definition"]
-    rank[0] = rank[n] = _RANK["definition"]
-    return rank, start
-
-
-def successors(rank: np.ndarray, limit: int, overlap: int) -> np.ndarray:
-    """For every position, the farthest legal start of the next piece: the last of the highest rank in the window.
+    rank[1:][empty[:-1]] = _RANK["paragraph"]
+    line = np.zeros(len(start), np.int64)
+    for k in boundaries(text, lang):
+        rank[k - 1], line[k - 1] = _RANK["definition"], k
+    rank[0] = _RANK["definition"]
+    if start[-1] < n:
+        start, rank, line = np.append(start, n), np.append(rank, np.int8(_RANK["definition"])), np.append(line, 0)
+    else:
+        rank[-1] = _RANK["definition"]
+    of_line = dict(zip(start[line > 0].tolist(), line[line > 0].tolist()))
+    gap = max(1, limit - overlap)
+    pos, rank = _filled(start, rank, np.flatnonzero((chars == 32) | (chars == 9)) + 1, _RANK["word"], gap)
+    pos, rank = _filled(pos, rank, np.arange(1, n), 0, gap)
+    return pos, rank, np.array([of_line.get(p, 0) for p in pos.tolist()], np.int64)
+
+
+def successors(pos: np.ndarray, rank: np.ndarray, limit: int, overlap: int) -> np.ndarray:
+    """For every place, the index of the farthest legal start of the next piece: the last of the highest rank in the window.
 
     A piece holds the ``overlap`` characters before it and must not exceed ``limit``.
     """
-    n = len(rank) - 1
-    pos = np.arange(n + 1)
-    reach = np.minimum(pos + limit - np.minimum(pos, overlap), n)
-    best = np.full(n + 1, -1)
+    n, at = len(pos) - 1, np.arange(len(pos))
+    reach = np.searchsorted(pos, np.minimum(pos + limit - np.minimum(pos, overlap), pos[-1]), "right") - 1
+    best = reach
     for level in (1, 2, 3, 4):
-        last = np.maximum.accumulate(np.where(rank >= level, pos, -1))
-        at = last[reach]
-        best = np.where(at > pos, at, best)
-    return np.where(reach == n, n, np.where(best > pos, best, reach))
+        last = np.maximum.accumulate(np.where(rank >= level, at, -1))[reach]
+        best = np.where(last > at, last, best)
+    return np.where(reach == n, n, best)
 
 
 def greedy_cuts(succ: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -211,7 +208,56 @@ def greedy_cuts(succ: np.ndarray, start: np.ndarray) -> np.ndarray:
         reached = grown
 
 
-def split_chunks(chunks: DataFrame, limit: int = 2500, overlap: int = 300, id_col: str = "chunk_id", content_col: str = "content", language_col: str = "language", path_col: str = "file_path") -> DataFrame:
+def _cut_up(texts: list[str], langs: list, limit: int, overlap: int):
+    """Of each text its places, ranks, lines, successors and which places are greedy cuts; the tables are squared together."""
+    tables, base = [], 0
+    for text, lang in zip(texts, langs):
+        if len(text) <= limit:
+            pos, rank, line = np.array([0, len(text)]), np.full(2, _RANK["definition"], np.int8), np.zeros(2, np.int64)
+            succ = np.ones(2, np.int64)
+        else:
+            pos, rank, line = places(text, lang, limit, overlap)
+            succ = successors(pos, rank, limit, overlap)
+        tables.append((pos, rank, line, succ, base))
+        base += len(pos)
+    if not tables:
+        return
+    reached = np.zeros(base, bool)
+    reached[greedy_cuts(np.concatenate([t[3] + t[4] for t in tables]), np.array([t[4] for t in tables]))] = True
+    for pos, rank, line, succ, first in tables:
+        yield pos, rank, line, succ, reached[first : first + len(pos)]
+
+
+def boundary_table(chunks: DataFrame, limit: int = 2500, overlap: int = 300, id_col: str = "chunk_id", content_col: str = "content", language_col: str = "language", path_col: str = "file_path") -> DataFrame:
+    """(id, line_no, position, next, cut): the natural boundaries of every chunk of more than ``limit`` code points.
+
+    ``next`` is where the piece that begins there ends at the latest legal boundary, ``cut`` whether the greedy pieces
+    of the whole chunk begin there. Null, empty and shorter chunks have none; repeated rows count once; a null or
+    unknown language is taken from the path's extension. Only the named columns are read.
+    """
+    kind = dict(chunks.dtypes)[id_col]
+    base = chunks.select(F.col(id_col).alias("id"), language_for(F.col(language_col), F.col(path_col)).alias("lang"), F.col(content_col).alias("text")).where(F.length("text") > limit)
+
+    def run(batches):
+        for batch in batches:
+            rows, cols = [], ([], [], [], [])
+            for i, (pos, rank, line, succ, is_cut) in enumerate(_cut_up(batch.column(2).to_pylist(), batch.column(1).to_pylist(), limit, overlap)):
+                own = np.flatnonzero(line > 0)
+                rows += [i] * len(own)
+                for col, values in zip(cols, (line[own], pos[own], pos[succ[own]], is_cut[own])):
+                    col.extend(values.tolist())
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types))], ["id", "line_no", "position", "next", "cut"])
+
+    return spread(base).mapInArrow(run, f"id {kind}, line_no long, position int, next int, cut boolean").distinct().withColumnRenamed("id", id_col)
+
+
+def find_boundaries(chunks: DataFrame, limit: int = 2500, id_col: str = "chunk_id", **how) -> DataFrame:
+    """(id, line_no) of ``boundary_table``."""
+    return boundary_table(chunks, limit, id_col=id_col, **how).select(id_col, "line_no").distinct()
+
+
+def split_chunks(chunks: DataFrame, limit: int = 2500, overlap: int = 300, id_col: str = "chunk_id", content_col: str = "content", language_col: str = "language", path_col: str = "file_path", line_col: str = "start_line") -> DataFrame:
     """(id, piece, content, start_line, end_line, own_from): pieces of at most ``limit`` code points of every chunk.
 
     Each piece but the first repeats the ``overlap`` characters before it; ``own_from`` is how many. Line ranges count
@@ -219,29 +265,16 @@ def split_chunks(chunks: DataFrame, limit: int = 2500, overlap: int = 300, id_co
     is one piece; a null content gives none, an empty one a single empty piece; repeated rows count once.
     """
     kind = dict(chunks.dtypes)[id_col]
-    base = chunks.select(F.col(id_col).alias("id"), language_for(F.col(language_col), F.col(path_col)).alias("lang"), F.col(content_col).alias("text"), F.col("start_line").cast("long").alias("line")).where("text is not null").distinct()
+    base = chunks.select(F.col(id_col).alias("id"), language_for(F.col(language_col), F.col(path_col)).alias("lang"), F.col(content_col).alias("text"), F.col(line_col).cast("long").alias("line")).where("text is not null").distinct()
 
     def run(batches):
         for batch in batches:
-            texts, langs = batch.column(2).to_pylist(), batch.column(1).to_pylist()
-            base_at, tables = 0, []
-            for text, lang in zip(texts, langs):
-                rank = _places(text, lang)[0] if len(text) > limit else None
-                table = np.full(len(text) + 1, len(text)) if rank is None else successors(rank, limit, overlap)
-                tables.append(table + base_at)
-                base_at += len(text) + 1
-            if not tables:
-                continue
-            flat = np.concatenate(tables)
-            first = np.cumsum([0] + [len(t) for t in tables[:-1]])
-            cuts = greedy_cuts(flat, first)
+            texts = batch.column(2).to_pylist()
             rows, piece, content, lo, hi, own = [], [], [], [], [], []
-            edge = np.searchsorted(cuts, first)
-            for i, text in enumerate(texts):
-                at = cuts[edge[i] : edge[i + 1] if i + 1 < len(edge) else len(cuts)] - first[i]
-                begin = batch.column(3)[i].as_py() or 1
-                for k, (a, b) in enumerate(zip(at[:-1], at[1:]) if len(at) > 1 else [(0, 0)]):
-                    a, b = int(a), int(b)
+            for i, (pos, _, _, _, is_cut) in enumerate(_cut_up(texts, batch.column(1).to_pylist(), limit, overlap)):
+                text, begin = texts[i], batch.column(3)[i].as_py() or 1
+                at = pos[is_cut].tolist() if text else [0, 0]
+                for k, (a, b) in enumerate(zip(at[:-1], at[1:])):
                     lead = min(a, overlap) if k else 0
                     rows.append(i)
                     piece.append(k)

@@ -201,13 +201,31 @@ def slow_cuts(rank, limit, overlap):
     return cuts
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(0, 4), min_size=2, max_size=300), st.integers(20, 60), st.integers(0, 15))
-def test_doubling_gives_the_greedy_cuts(rank, limit, overlap):
-    rank = np.array(rank, np.int8)
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bb", " ", "\n", "\n\n", "x" * 70, "\n# H\n"]), max_size=120), st.integers(20, 60), st.integers(0, 15))
+def test_doubling_gives_the_greedy_cuts(parts, limit, overlap):
+    text = "".join(parts) + "z"
+    rank = np.zeros(len(text) + 1, np.int8)
+    for k, c in enumerate(text, 1):
+        rank[k] = {" ": 1, "\n": 2}.get(c, 0)
+    lines, at = text.split("\n"), 0
+    for before, line in zip(lines, lines[1:]):
+        at += len(before) + 1
+        rank[at] = 4 if line.startswith("# ") else 3 if not before.strip() else 2
     rank[0] = rank[-1] = 4
-    got = splitting.greedy_cuts(splitting.successors(rank, limit, overlap), np.array([0]))
-    assert got.tolist() == slow_cuts(rank.tolist(), limit, overlap)
+    pos, got, _ = splitting.places(text, "markdown", limit, overlap)
+    assert (rank[pos] >= got).all()
+    cuts = splitting.greedy_cuts(splitting.successors(pos, got, limit, overlap), np.array([0]))
+    assert pos[cuts].tolist() == slow_cuts(rank.tolist(), limit, overlap)
+
+
+def test_boundary_tables_are_short(spark):
+    text = "".join(f"def f{k}():\n    return {k}\n" for k in range(200))
+    pos, rank, line = splitting.places(text, "python", 500, 50)
+    assert len(pos) == 401 and (line > 0).sum() == 199
+    table = splitting.boundary_table(spark.createDataFrame([(1, "py", "", text)], "chunk_id long, language string, file_path string, content string"), 500, 50).orderBy("line_no").collect()
+    assert [r.line_no for r in table] == list(range(3, 401, 2)) and all(0 < r.next - r.position <= 500 - min(r.position, 50) for r in table)
+    assert {r.position for r in table if r.cut} <= {r.next for r in table} | {table[k].position for k in range(30)}
 
 
 def test_split_chunks_round_trip(spark):
