@@ -1,8 +1,10 @@
 """Keyword-stuffed and link-list pages.
 
-Method: bagged decision trees on content and link features, trained from weak labels, then smoothed by host. A weak
-label is given where the share of stuffed text is clear; pages between are left to the trees. A page's log-odds are
-shifted by how far its host's mean prediction lies from the mean of all.
+Method: bagged decision trees on content and link features, trained from weak labels, then smoothed by host. Weak
+labels come from other evidence than the trees see: whether a text has sentences, function words or code. Where that
+is clear a page is labelled; the trees learn from those pages what links, tags and repeated phrases look like, and
+judge all pages by these alone. A page's log-odds are shifted by how far its host's mean prediction lies from the mean
+of all.
 
 Plan: one map computes the features of every page. At most ``sample`` labelled rows, those with the smallest hash of
 their id, come to the driver to fit the trees (a few hundred numbers, sent back with the tasks). Host means are a
@@ -37,7 +39,9 @@ FUNCTION_WORDS = frozenset(
     "le la les un une des du de et ou est sont ne pas que qui dans sur pour par avec sans ce cette il elle nous vous mais si plus dès au aux puis alors d l s n qu sinon abord "
     "el los las una unos unas y o es son no que en para por con sin su se lo como más pero cuando porque del al este esta muy hasta luego todavía qué".split()
 )
-FEATURES = ("link", "tag", "phrase", "stuffed", "urls", "function", "variety", "hot", "ended", "code", "repeated_lines", "size")
+#: What the trees see, and what weak labels are made of.
+FEATURES = ("link", "tag", "phrase", "urls", "variety", "hot", "repeated_lines", "size")
+EVIDENCE = ("function", "ended", "code")
 
 
 def _words(s: str) -> list[str]:
@@ -45,10 +49,10 @@ def _words(s: str) -> list[str]:
 
 
 def page_features(text: str) -> tuple[float, ...]:
-    """The features of one text, in the order of ``FEATURES``; shares are of its characters or words."""
+    """The values of one text, in the order of ``FEATURES`` and ``EVIDENCE``; shares are of its characters or words."""
     lines = [x for x in map(str.strip, text.split("\n")) if x]
     if not lines:
-        return (0.0,) * len(FEATURES)
+        return (0.0,) * (len(FEATURES) + len(EVIDENCE))
     total = sum(map(len, lines))
     words: list[str] = []
     link = tag = phrase = ended = code = repeated = urls = functions = 0
@@ -105,15 +109,15 @@ def page_features(text: str) -> tuple[float, ...]:
                     phrase += len(x)
     m = max(1, len(words))
     hot = sum(c for w, c in counts.items() if c >= 4 and w not in FUNCTION_WORDS)
-    return (link / total, tag / total, phrase / total, (link + tag + phrase) / total, urls / total, functions / m, len(counts) / m, hot / m, ended / total, code / total, repeated / total, float(np.log1p(total)))
+    return (link / total, tag / total, phrase / total, urls / total, len(counts) / m, hot / m, repeated / total, float(np.log1p(total)), functions / m, ended / total, code / total)
 
 
-def weak_label(f: tuple[float, ...]) -> int | None:
-    """1 where the text is clearly stuffed, 0 where clearly not, None between."""
-    v = dict(zip(FEATURES, f))
-    if v["stuffed"] >= 0.5 and v["ended"] < 0.45:
+def weak_label(values: tuple[float, ...]) -> int | None:
+    """1 where a text has hardly a sentence, function word or line of code, 0 where it clearly has, None between."""
+    function, ended, code = values[len(FEATURES) :]
+    if function < 0.1 and ended < 0.15 and code < 0.15:
         return 1
-    if v["stuffed"] <= 0.35:
+    if ended >= 0.3 or code >= 0.4 or function >= 0.22 and ended >= 0.1:
         return 0
     return None
 
@@ -190,9 +194,12 @@ class BaggedTrees:
 
 def _featurise(batches):
     for batch in batches:
-        rows = [page_features(t) for t in batch.column(2).to_pylist()]
+        texts = batch.column(2).to_pylist()
+        full = [k for k, t in enumerate(texts) if t.strip()]  # white space of any script is blank
+        at = pa.array(full, pa.int64())
+        rows = [page_features(texts[k]) for k in full]
         labels = [weak_label(f) for f in rows]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(r) for r in rows], pa.list_(pa.float64())), pa.array(labels, pa.int32())], ["doc", "host", "features", "weak"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([list(r[: len(FEATURES)]) for r in rows], pa.list_(pa.float64())), pa.array(labels, pa.int32())], ["doc", "host", "features", "weak"])
 
 
 def score_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", sample: int = 20_000, strength: float = 10.0, shift: float = 0.35) -> DataFrame:

@@ -304,7 +304,7 @@ def test_stuffed_pages(spark):
     prose = "The index keeps a row for every file that was read. When a run fails, it is repeated by the next one. Nothing is lost if the queue is full at that point.\n"
     spam = ["buy online; best tool; free trial; " * 30, "\n".join(f"[best tool](https://a{k}.example/x)" for k in range(30)), " ".join(f"#free_trial{k} #buy_online" for k in range(40)), "\n".join(f"SKU-{k}123 ~ item-{k} ~ free trial | {k}" for k in range(30)), "Cheap tool online! Best tool 2026. Free tool for index. " * 20]
     fine = [prose * 4, "def f(x):\n    return x\n" * 20, prose + "\n".join(f"- [Page {k}](https://a{k}.example/x): The page says how the index is read and when it is repeated." for k in range(10)), prose * 2 + "Tags: a, b, c, d\n", "仓库很大时，请把值设为二。服务会检查文件，然后报告状态。如果找不到目录，下一次运行会重建索引。队列已满时，任务会等待，直到有空位为止。每个分片只属于一个集合。"]
-    rows = [(k, t, "h" if k % 2 else None) for k, t in enumerate(spam * 8 + fine * 12)] + [(1000, None, "h"), (1001, "", "h"), (1002, " \n ", "h")]
+    rows = [(k, t, "h" if k % 2 else None) for k, t in enumerate(spam * 8 + fine * 12)] + [(1000, None, "h"), (1001, "", "h"), (1002, " \n ", "h"), (1003, "\u00a0\u3000", "h")]
     df = spark.createDataFrame([(*r, 1) for r in rows + rows[:3]], "doc_id long, text string, source string, host int")
     got = {r.doc_id for r in stuffing.stuffed_pages(df).collect()}
     assert got == set(range(40))
