@@ -9,7 +9,6 @@ Plan: one map-only pass, no shuffle of contents; flags are made distinct by key,
 from __future__ import annotations
 
 import re
-import sys
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,7 +18,6 @@ from siftlode.llm.syntax.lexers import ALIASES
 from siftlode.runtime import spread
 
 _CONFLICT = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?: |\r?$)", re.M)
-_DEEP = 60_000
 
 
 def language_of(label: Column) -> Column:
@@ -32,28 +30,27 @@ def language_of(label: Column) -> Column:
 def check(text: str, lang: str) -> tuple[bool, int, int, str | None]:
     """(valid, line, column, cause) of one text; line and column of the furthest failure, from 1, are 0 if it is valid.
 
-    Empty and comment-only texts are valid. A text nested too deeply for the parser counts as valid.
+    Empty and comment-only texts are valid. A text that nests deeper than the parser can follow (millions of calls) is
+    not valid, with the cause ``too deep``, at the furthest token that was read.
     """
     from siftlode.llm.syntax.grammars import grammar
     from siftlode.llm.syntax.lexers import lex
+    from siftlode.llm.syntax.peg import TooDeep
 
     tokens = lex(text, lang)
     if len(tokens.kinds) < 2:
         return True, 0, 0, None
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, _DEEP))
+    deep = False
     try:
         at = grammar(lang).parse(tokens)
-    except RecursionError:
-        return True, 0, 0, None
-    finally:
-        sys.setrecursionlimit(limit)
+    except TooDeep as e:
+        at, deep = max(e.at, 0), True
     if at < 0:
         return True, 0, 0, None
     start = tokens.starts[at]
     line = text.count("\n", 0, start) + 1
     column = start - (text.rfind("\n", 0, start) + 1) + 1
-    return False, line, column, _cause(text, tokens, at)
+    return False, line, column, "too deep" if deep else _cause(text, tokens, at)
 
 
 def _cause(text: str, tokens, at: int) -> str:

@@ -51,7 +51,8 @@ _NUM = r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*)?\.\d[\d_]*(
 
 
 def _master(comment: str, string: str, number: str, name: str, ops: str, extra: str = "") -> re.Pattern:
-    return re.compile(rf"(?P<C>{comment})|(?P<S>{string})|{extra}(?P<F>{number})|(?P<I>{name})|(?P<N>\n)|(?P<W>[ \t\r\f\v\ufeff\xa0]+|\\\r?\n)|(?P<O>{ops})|(?P<E>[\s\S])")
+    line = f"{extra}" if extra.startswith("(?P<P>") else ""  # a directive begins before the blanks of its line
+    return re.compile(rf"{line}[ \t]*(?:(?P<C>{comment})|(?P<S>{string})|{'' if line else extra}(?P<F>{number})|(?P<I>{name})|(?P<N>\n)|(?P<W>[ \t\r\f\v\ufeff\xa0]+|\\\r?\n)|(?P<O>{ops})|(?P<E>[\s\S]))")
 
 
 _OPS = r"<<=|<=>|\*\*=|&&=|\|\|=|\?\?=|\.\.\.|\.\.=|===|!==|<-|::|->|=>|==|!=|<=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|\*\*|:=|\.\.|[-+*/%&|^~!<>=?:;,.(){}\[\]@#]"
@@ -102,59 +103,63 @@ class Lexed:
         self.lines.append(line)
 
 
-def _after_error(text: str, m: re.Match) -> int:
+def _after_error(text: str, at: int) -> int:
     """Where to go on behind an unreadable character: at the end of the line if it opens a string or comment, else next to it."""
-    if m.group() in "\"'`":
-        end = text.find("\n", m.start())
+    if text[at] in "\"'`":
+        end = text.find("\n", at)
         return len(text) if end < 0 else end
-    return m.end()
+    return at + 1
 
 
 def _plain(text: str, lang: str) -> Lexed:
     out, master, words = Lexed(), _MASTERS[lang], RESERVED[lang]
-    go = lang == "go"
-    pos, n, line, depth = 0, len(text), False, 0
-    match, add = master.match, out.add
+    go, python = lang == "go", lang == "python"
+    pos, n, line = 0, len(text), False
+    rows: list[tuple] = []
+    match, add, ends = master.match, rows.append, (NAME, NUM, STR)
     while pos < n:
         m = match(text, pos)
-        kind, start, pos = m.lastgroup, pos, m.end()
+        kind = m.lastgroup
         if kind in ("rh", "rd", "q"):
             kind = "S"
-        if kind == "W":
+        start, pos = m.span(kind)
+        if kind == "I":
+            s = m[kind]
+            add((KW if s in words else NAME, s, start, pos, line))
+        elif kind == "W":
             continue
-        if kind == "N" or kind == "C" or kind == "P":
+        elif kind == "O":
+            s = m[kind]
+            if s == "/" and text.startswith("/*", start):  # a comment without an end
+                pos = n
+                add((ERR, "/*", start, n, line))
+            else:
+                add((OP, s, start, pos, line))
+        elif kind == "N" or kind == "C" or kind == "P":
             if kind == "C":
                 out.comments.append((start, pos))
             elif kind == "P":
                 out.directives.append((start, pos))
-            if kind != "C" or "\n" in m.group():
-                if go and not line and out.kinds and (out.kinds[-1] in (NAME, NUM, STR) or out.texts[-1] in _GO_ENDS):
-                    add(OP, ";", start, start, False)
+            if kind != "C" or "\n" in m[kind]:
+                if go and not line and rows and (rows[-1][0] in ends or rows[-1][1] in _GO_ENDS):
+                    add((OP, ";", start, start, False))
                 line = True
             continue
-        s = m.group()
-        if kind == "I":
-            add(KW if s in words else NAME, s, start, pos, line)
-        elif kind == "O":
-            if s == "/" and text.startswith("/*", start):  # a comment without an end
-                pos = n
-                add(ERR, "/*", start, n, line)
-            else:
-                add(OP, s, start, pos, line)
         elif kind == "S":
-            add(STR, "", start, pos, line)
+            add((STR, "", start, pos, line))
         elif kind == "F":
-            bad = lang == "python" and re.match(r"0_?\d", s) and not re.fullmatch(r"[0_]+|.*[.eEjJ].*", s)
-            add(ERR if bad else NUM, "", start, pos, line)
+            bad = python and re.match(r"0_?\d", m[kind]) and not re.fullmatch(r"[0_]+|.*[.eEjJ].*", m[kind])
+            add((ERR if bad else NUM, "", start, pos, line))
         elif kind == "L":
-            add("LIFE", "", start, pos, line)
+            add(("LIFE", "", start, pos, line))
         else:
-            pos = _after_error(text, m)
-            add(ERR, "", start, pos, line)
+            pos = _after_error(text, start)
+            add((ERR, "", start, pos, line))
         line = False
-    if go and out.kinds and (out.kinds[-1] in (NAME, NUM, STR) or out.texts[-1] in _GO_ENDS):
-        add(OP, ";", n, n, False)
-    add(EOF, "", n, n, True)
+    if go and rows and (rows[-1][0] in ends or rows[-1][1] in _GO_ENDS):
+        add((OP, ";", n, n, False))
+    add((EOF, "", n, n, True))
+    out.kinds, out.texts, out.starts, out.ends, out.lines = map(list, zip(*rows))
     return out
 
 
@@ -208,7 +213,7 @@ def _script(text: str) -> Lexed:
                 continue
             out.add(OP, s, start, pos, line)
         else:
-            pos = _after_error(text, m)
+            pos = _after_error(text, start)
             out.add(ERR, "", start, pos, line)
         line = False
     out.add(EOF, "", n, n, True)

@@ -56,6 +56,17 @@ def test_python_grammar_agrees_with_the_interpreter(text, at, put):
     assert parsing.check(changed, "python")[0] == ok or "yield" in changed or "f'" in changed
 
 
+@pytest.mark.parametrize(("lang", "head", "tail"), [("python", "x = ", "\n"), ("javascript", "x = ", ""), ("java", "class A { int x = ", ";}")])
+def test_deep_nesting_is_parsed(lang, head, tail, monkeypatch):
+    assert parsing.check(head + "(" * 20_000, lang)[0] is False
+    assert parsing.check(head + "(" * 20_000 + "1" + ")" * 20_000 + tail, lang)[0] is True
+    from siftlode.llm.syntax import peg
+
+    monkeypatch.setattr(peg, "DEEPEST", 20_000)
+    valid, line, column, cause = parsing.check(head + "(" * 20_000 + "1" + ")" * 20_000 + tail, lang)
+    assert not valid and line == 1 and column > 100 and cause == "too deep"
+
+
 def test_flags_and_rates(spark):
     rows = [("p", "a", " Python ", "x = 1", 1), ("p", "a", " Python ", "x = 1", 1), ("p", "b", "py", "x = (", 1), ("p", "c", None, "x = (", 1), ("p", "d", "", "(", 1), ("p", "e", "GO", None, 1), ("q", "f", "klingon", "(", 1), (None, "g", "go", "}", 1)]
     df = spark.createDataFrame(rows, "project string, rel_path string, language string, content string, lang int")
