@@ -149,7 +149,7 @@ class Grammar:
             got = self._emit(node, "p0", out, "        ")
             out += [f"        m[p0] = {got}", f"        return {got}"]
         out.insert(2, "    " + "; ".join(f"M_{name} = {{}}" for name in self.rules))
-        out += ["    try:", f"        return r_{start}(0), far", "    except RecursionError:", "        raise deep(far) from None"]
+        out += ["    try:", f"        return r_{start}(0), far", "    except RecursionError:", f"        raise deep(max([far, *(max(m, default=0) for m in ({', '.join(f'M_{name}' for name in self.rules)},))])) from None"]
         exec(compile("\n".join(out), "<grammar>", "exec"), self._scope)
         return self._scope["run"]
 
