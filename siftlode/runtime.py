@@ -1,8 +1,8 @@
 """Sessions, table access and lineage cuts.
 
 Lineage is cut by writing a Parquet table into the shared folder named by ``spark.checkpoint.dir``; every executor
-can read it again after any other executor is lost. Only where the setting is absent (tests on one machine) a
-temporary folder is used.
+can read it again after any other executor is lost. Only where the setting is absent and the master is local (tests on
+one machine) a temporary folder is used; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
         path = tempfile.mkdtemp(prefix="siftlode-")
@@ -77,11 +79,15 @@ def _remove(path: str) -> None:
         pass
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends, nothing is recomputed later."""
+def cut(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends, nothing is recomputed later.
+
+    With ``by`` the table has a folder for each value of that column, so that a filter on it reads those files only.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -134,14 +140,29 @@ def spread(df: DataFrame) -> DataFrame:
     """For work that is heavy a row: an input of fewer partitions than tasks can run at once is dealt out evenly.
 
     A large input has more partitions than that and is read as it is, without a shuffle, and so is one that comes out
-    of a shuffle (counting its partitions would run it). The rows are the same.
+    of a join or aggregate (counting its partitions would run it). The rows are the same.
     """
     n = slots(df.sparkSession)
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if any(k in plan.nodeName() for k in _SHUFFLING) or _any_node(plan):
         return df
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+#: Logical operators that shuffle their input.
+_SHUFFLING = ("Join", "Aggregate", "Window", "Sort", "Repartition", "Distinct", "CoGroup", "GroupsIn", "Limit")
+
+
+def _any_node(plan) -> bool:
+    """Whether an operator below shuffles."""
+    children = plan.children()
+    for k in range(children.size()):
+        child = children.apply(k)
+        if any(w in child.nodeName() for w in _SHUFFLING) or _any_node(child):
+            return True
+    return False
+
+
 def pieces(total: float, each: float) -> int:
     """How many pieces of at most ``each`` cover ``total``; at least one."""
     return max(1, math.ceil(total / each))
