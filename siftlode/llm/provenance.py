@@ -13,6 +13,7 @@ with many files is summed with partial aggregation, never held.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,9 @@ _VENDORED = re.compile(
     rf"(?im){_COMMENT}(?:upstream:[ \t]*https?://.*|@license[ \t]+\S+|released under the \S+ licen[sc]e.*|imported from \S+ at (?:revision|commit|version|tag)\b.*|this is a (?:verbatim )?copy of \S+ \(.*|\S+ v?\d+\.\d+[\d.]* -- \(c\) \d{{4}}.*contributors.*|spdx-filecopyrighttext:[ \t]*\d{{4}}.*foundation|part of the \S+ (?:distribution|library|package)\b.*|vendored from\b.*)$"
 )
 _OWN = re.compile(rf"(?im){_COMMENT}copyright \d{{4}} the project authors")
-_TABLE_CALL = re.compile(r"^[ \t]*(?:(?:export|public|static|final|const|var|let|auto|readonly)[ \t]+)*[_A-Za-z]\w*(?:[ \t]*:[ \t]*\w+)?[ \t]*:?=[ \t]*\w+\([ \t]*\d+,[ \t]*\"[^\"]*\",[ \t]*\d+,[ \t]*0x[0-9a-f]+[ \t]*\);?[ \t]*\r?$", re.M)
+#: A literal, and a name, in the shape of a line.
+_LITERAL = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|\b(?:0x[0-9a-fA-F]+|\d[\d_.]*)\b")
+_WORD = re.compile(r"[^\W\d]\w*")
 #: Strings and notes to leave out of a line, by the quotes that are still closed somewhere after.
 _QUOTED = {
     kinds: re.compile("|".join([rf"{q}(?:[^{q}\\\n]|\\.)*+(?:{q}|(?P<open{k}>\\?\Z))" for k, q in enumerate(kinds)] + [r"`[^`\n]*`|//[^\n]*|#(?=[ \t])[^\n]*"]))
@@ -75,6 +78,15 @@ def _bare(line: str) -> int:
             return bare + len(line) - at
 
 
+def _uniform(lines: list[str]) -> int:
+    """How many lines share the most frequent shape among those of three literals or more, as rows written by a program do.
+
+    A shape is a line with its literals and names replaced, so it tells neither language nor wording.
+    """
+    shapes = Counter(_WORD.sub("n", _LITERAL.sub("0", x)) for x in lines if len(x) <= 400 and (x.count(",") >= 2 or x.count(" ") >= 4) and len(_LITERAL.findall(x)) >= 3)
+    return max(shapes.values(), default=0)
+
+
 def chunk_counts(text: str) -> tuple[int, ...]:
     """The counts of one chunk, in the order of ``COUNTS``; long, data and code count characters."""
     lines = text.split("\n")
@@ -97,7 +109,7 @@ def chunk_counts(text: str) -> tuple[int, ...]:
         elif not _DATA_EDGE.match(line):
             code += n
     return (
-        len(text), used, long, data, code, len(_TABLE_CALL.findall(text)),
+        len(text), used, long, data, code, _uniform([x for x in lines if "=" in x]),
         int(bool(_GENERATED.search(text))), int(bool(_VENDORED.search(text))), int(bool(_OWN.search(text))),
     )
 
@@ -151,7 +163,7 @@ def propagate(evidence: DataFrame, coupling: float = 1.5) -> DataFrame:
     labels = range(len(LABELS))
     parent = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path") == "", F.lit(None)).otherwise(F.lit("")))
     depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
-    files = cut(evidence.withColumn("depth", depth).withColumn("is_file", F.lit(True)), "evidence")
+    files = cut(evidence.withColumn("depth", depth).withColumn("is_file", F.lit(True)), "evidence", by="depth")  # a level reads its own files only
     deepest = files.agg(F.max("depth")).first()[0] or 0
     levels: dict[int, DataFrame] = {}
     above: DataFrame | None = None
