@@ -10,7 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Folders no graph scan enters.
-IGNORED_FOLDERS = ("node_modules", ".git", "dist", "build", "out", "target", "coverage", "vendor", "__pycache__", ".venv", "venv")
+IGNORED_FOLDERS = (
+    "node_modules", ".git", "dist", "build", ".next", "__pycache__", ".venv", "vendor", "target", "coverage", ".nyc_output", ".cache",
+    ".idea", ".vscode", ".circleci", "bin", "obj", "out", "tmp", "temp", ".tox", ".mypy_cache", ".pytest_cache", ".turbo", ".angular",
+    ".nuxt", ".svn", ".hg", "bower_components", ".terraform", ".parcel-cache",
+)
 
 
 def glob_regex(pattern: str) -> str | None:

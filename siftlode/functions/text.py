@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The language each extension stands for.
+#: The extensions that are indexed, and the language each stands for.
 LANGUAGES = {
-    ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".py": "python",
-    ".java": "java", ".cpp": "cpp", ".cc": "cpp", ".hpp": "cpp", ".c": "c", ".h": "c", ".cs": "csharp", ".go": "go", ".rs": "rust",
-    ".php": "php", ".rb": "ruby", ".swift": "swift", ".kt": "kotlin", ".scala": "scala", ".m": "objective-c", ".mm": "objective-c",
-    ".ipynb": "jupyter", ".md": "markdown", ".markdown": "markdown", ".sol": "solidity",
+    ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".py": "python", ".java": "java",
+    ".cpp": "cpp", ".c": "c", ".h": "c", ".hpp": "cpp", ".cs": "csharp", ".go": "go", ".rs": "rust", ".php": "php", ".rb": "ruby",
+    ".swift": "swift", ".kt": "kotlin", ".scala": "scala", ".m": "objective-c", ".mm": "objective-c", ".dart": "dart",
+    ".sol": "solidity", ".md": "markdown", ".markdown": "markdown", ".ipynb": "jupyter",
+}
+#: The language each extension is parsed as for the graph.
+GRAPH_LANGUAGES = {
+    ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".py": "python",
+    ".java": "java", ".cpp": "cpp", ".c": "cpp", ".h": "cpp", ".hpp": "cpp", ".cc": "cpp", ".go": "go", ".rs": "rust", ".cs": "csharp",
+    ".yaml": "yaml", ".yml": "yaml",
+}
+#: The names of languages that are split at definitions, and the language whose rules apply.
+SPLITTABLE = {
+    "javascript": "javascript", "js": "javascript", "typescript": "typescript", "ts": "typescript", "python": "python", "py": "python",
+    "java": "java", "cpp": "cpp", "c++": "cpp", "c": "cpp", "go": "go", "rust": "rust", "rs": "rust", "cs": "csharp",
+    "csharp": "csharp", "scala": "scala",
 }
-GRAPH_LANGUAGES = ("typescript", "javascript", "python", "java", "cpp", "csharp", "go", "rust")
 DEFAULT_EXTENSIONS = tuple(LANGUAGES)
 
 
+def _folds() -> tuple[str, str]:
+    """Lower-case Latin letters with marks, and the letters without."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xDF, 0x250), *range(0x1E00, 0x1F00))]
+    kept = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii() and c == c.lower()]
+    return "".join(c for c, _ in kept), "".join(d for _, d in kept)
+
+
+MARKED, UNMARKED = _folds()
+
+
 def lookup(pairs: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), key)
 
@@ -31,8 +55,12 @@ def language(ext: Column) -> Column:
 
 def graph_language(path: Column) -> Column:
     """The language a file is parsed as for the graph; yaml for manifests, empty if none."""
-    known = {e: v for e, v in LANGUAGES.items() if v in GRAPH_LANGUAGES} | {".h": "cpp", ".c": "cpp", ".yml": "yaml", ".yaml": "yaml"}
-    return F.coalesce(lookup(known, extension(path)), F.lit(""))
+    return F.coalesce(lookup(GRAPH_LANGUAGES, extension(path)), F.lit(""))
+
+
+def splitter_language(name: Column) -> Column:
+    """The language whose definitions a language of this name is split at, empty if there are no rules for it."""
+    return F.coalesce(lookup(SPLITTABLE, F.lower(name)), F.lit(""))
 
 
 def is_dockerfile(path: Column) -> Column:
@@ -50,9 +78,20 @@ def collection_name(identity: Column, prefix: str = "code_chunks", override: str
     return F.substring(F.concat(F.lit(f"{prefix}{middle}_"), F.substring(F.md5(identity), 1, 8)), 1, 255)
 
 
+def folded(text: Column) -> Column:
+    """Lower case, without the marks of Latin letters and without combining marks."""
+    return F.regexp_replace(F.translate(F.lower(text), MARKED, UNMARKED), "[\u0300-\u036f]", "")
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case words of ASCII letters and digits."""
-    return F.array_remove(F.split(F.lower(text), r"[^a-z0-9]+"), "")
+    """Words of letters and digits of any script, in lower case, Latin letters without marks."""
+    return F.array_remove(F.split(folded(text), r"[^\p{L}\p{N}]+"), "")
+
+
+def words_of(text: str) -> list[str]:
+    """The tokens of a query, on the driver."""
+    low = "".join(c for c in text.lower().translate(str.maketrans(MARKED, UNMARKED)) if not "\u0300" <= c <= "\u036f")
+    return re.findall(r"[^\W_]+", low)
 
 
 def query_terms(text: Column) -> Column:
@@ -61,6 +100,12 @@ def query_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(split, F.lower), lambda t: t != ""))
 
 
+def search_words(query: str) -> list[str]:
+    """The terms of ``query_terms`` as tokens, on the driver."""
+    parts = re.split(r"[\s_\-.:/]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", query))
+    return list(dict.fromkeys(w for p in parts for w in words_of(p)))
+
+
 def token_estimate(text: Column) -> Column:
     return F.ceil(F.length(text) / 4.0).cast("long")
 

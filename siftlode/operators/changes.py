@@ -85,14 +85,18 @@ def changed_files(states: DataFrame, snapshots: DataFrame) -> DataFrame:
 class ChangeFeed:
     """Durable incremental runs over a growing table.
 
-    Under ``path``: ``ledger/<run>`` holds the key-and-version pairs a run processed, ``commits/<run>`` its marks. A
-    run counts only once its commit exists, which is written last and in one rename; a run that died before leaves
-    files nobody reads. Positions must be comparable; ``open_since`` is the position of the oldest transaction still
-    open when the run reads (default: the greatest position read, that is none is open).
+    Under ``path``: ``ledger/<run>`` holds the key-and-version pairs a run processed with their positions, ``commits``
+    one small file a run. A run counts only once its commit exists, which is written last and in one rename; a run that
+    died before leaves files nobody reads. Positions must be comparable.
+
+    ``open_since`` is the position of the oldest transaction still open when the run begins to read. Who does not know
+    it must not guess: without it rows of any position may still turn up, so the low water stays where it was and the
+    next run rereads from there (from the start, if it was never given). With ``redelivered`` False a pair is never
+    delivered again at a later position, and the ledger is read from the low water only; otherwise all of it is.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], version: list[str], position: str):
-        self.spark, self.path, self.keys, self.version, self.position = spark, path.rstrip("/"), keys, version, position
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], version: list[str], position: str, redelivered: bool = True):
+        self.spark, self.path, self.keys, self.version, self.position, self.redelivered = spark, path.rstrip("/"), keys, version, position, redelivered
         self._root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -100,44 +104,42 @@ class ChangeFeed:
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
     def commits(self) -> list[dict]:
-        """The committed runs, oldest first."""
+        """The committed runs, oldest first; read in one go, without a job a run."""
         if not self._fs.exists(self._at("commits")):
             return []
-        found = []
-        for status in self._fs.listStatus(self._at("commits")):
-            name = status.getPath().getName()
-            if name.endswith(".json"):
-                found.append(json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.path}/commits/{name}").collect())))
-        return sorted(found, key=lambda c: c["number"])
-
-    def _ledger(self, runs: list[dict], like: DataFrame) -> DataFrame:
-        pairs = [F.col(c) for c in self.keys + self.version]
-        schema = like.select(*pairs).schema
+        rows = self.spark.read.schema("run string, number long, low_water string").option("pathGlobFilter", "*.json").json(f"{self.path}/commits")
+        return sorted((r.asDict() for r in rows.collect()), key=lambda c: c["number"])
+
+    def _ledger(self, runs: list[dict], like: DataFrame, low: Column | None) -> DataFrame:
+        schema = like.select(*self.keys, *self.version, F.col(self.position).alias("__position")).schema
         if not runs:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/ledger/{c['run']}" for c in runs])
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/ledger/{c['run']}" for c in runs])
+        return rows if self.redelivered or low is None else rows.where(F.col("__position").isNull() | (F.col("__position") >= low))
+
+    def _low(self, runs: list[dict], source: DataFrame) -> Column | None:
+        known = runs[-1]["low_water"] if runs else None
+        return None if known is None else F.lit(known).cast(source.schema[self.position].dataType)
 
     def pending(self, source: DataFrame) -> DataFrame:
         """The rows the next run has to process; a row repeated in the source is given once."""
         runs = self.commits()
-        low = None
-        if runs and runs[-1]["low_water"] is not None:
-            low = F.lit(runs[-1]["low_water"]).cast(source.schema[self.position].dataType)
-        return unprocessed(source, self._ledger(runs, source), self.keys, self.version, self.position, low).dropDuplicates(self.keys + self.version)
+        low = self._low(runs, source)
+        return unprocessed(source, self._ledger(runs, source, low), self.keys, self.version, self.position, low).dropDuplicates(self.keys + self.version)
 
     def run(self, source: DataFrame, apply, open_since=None) -> DataFrame:
         """Apply ``apply`` to the pending rows, then record and commit them. If it raises, nothing is committed.
 
         ``apply`` should write by key, or to a place named by the run, so that a repeat after a failure is harmless.
+        Rows that arrive while it works are left to the next run: what is recorded is what was read.
         """
         runs = self.commits()
         rows = cut(self.pending(source), "pending")
         apply(rows)
         run = uuid.uuid4().hex
-        rows.select(*self.keys, *self.version).write.parquet(f"{self.path}/ledger/{run}")
-        high = source.agg(F.max(self.position)).first()[0] if open_since is None else open_since
-        mark = {"run": run, "number": len(runs), "low_water": None if high is None else str(high)}
-        self._commit(mark)
+        rows.select(*self.keys, *self.version, F.col(self.position).alias("__position")).write.parquet(f"{self.path}/ledger/{run}")
+        before = runs[-1]["low_water"] if runs else None
+        self._commit({"run": run, "number": len(runs), "low_water": before if open_since is None else str(open_since)})
         return rows
 
     def _commit(self, mark: dict) -> None:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import ast
 import re
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlode.functions.text import SPLITTABLE
+from siftlode.runtime import cut
+
 #: Separators of the recursive splitter, strongest first.
 SEPARATORS = {
     "python": ["\nclass ", "\ndef ", "\n\tdef ", "\n\n", "\n", " ", ""],
@@ -16,6 +20,9 @@ SEPARATORS = {
     "go": ["\nfunc ", "\nvar ", "\nconst ", "\ntype ", "\nif ", "\nfor ", "\nswitch ", "\n\n", "\n", " ", ""],
     "java": ["\nclass ", "\npublic ", "\nprotected ", "\nprivate ", "\nstatic ", "\n\n", "\n", " ", ""],
     "typescript": ["\nfunction ", "\nconst ", "\nlet ", "\nclass ", "\ninterface ", "\nenum ", "\n\n", "\n", " ", ""],
+    "rust": ["\nfn ", "\nconst ", "\nlet ", "\nif ", "\nwhile ", "\nfor ", "\nloop ", "\nmatch ", "\n\n", "\n", " ", ""],
+    "cpp": ["\nclass ", "\nvoid ", "\nint ", "\nfloat ", "\ndouble ", "\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase ", "\n\n", "\n", " ", ""],
+    "scala": ["\nclass ", "\nobject ", "\ndef ", "\nval ", "\nvar ", "\nif ", "\nfor ", "\nwhile ", "\nmatch ", "\ncase ", "\n\n", "\n", " ", ""],
     "": ["\n\n", "\n", " ", ""],
 }
 
@@ -56,9 +63,24 @@ def keep_long(chunks: DataFrame, least: int = 10, content_col: str = "content")
     return chunks.where(F.length(F.trim(content_col)) > least)
 
 
-def capped(chunks: DataFrame, most: int = 450_000, order: tuple[str, ...] = ("path", "seq")) -> DataFrame:
-    """The first ``most`` chunks in a total order: the feature of a bounded index run, not a shortcut."""
-    return chunks.orderBy(*order).limit(most)
+def capped(chunks: DataFrame, most: int = 450_000, path_col: str = "path") -> tuple[DataFrame, DataFrame]:
+    """(kept, left): chunks of whole files up to ``most`` in order of path, and (path) of the files left to a later run.
+
+    The feature of a bounded index run: a file is kept whole or left whole (the first is always kept), so what is left
+    can be indexed later. Counts a path are summed in two steps, over ranges of paths and inside them, so no task holds
+    them all.
+    """
+    counts = chunks.groupBy(path_col).agg(F.count("*").alias("n")).repartitionByRange(path_col).withColumn("part", F.spark_partition_id())
+    counts = cut(counts, "counts")
+    before, total = {}, 0
+    for r in counts.groupBy("part").agg(F.sum("n").alias("n"), F.min(path_col).alias("first")).orderBy("first").collect():
+        before[r["part"]], total = total, total + r["n"]
+    offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
+    upto = F.element_at(offset, F.col("part")) + F.sum("n").over(Window.partitionBy("part").orderBy(path_col))
+    placed = counts.withColumn("upto", upto)
+    over = (F.col("upto") > most) & (F.col("upto") > F.col("n"))
+    left = placed.where(over).select(path_col)
+    return chunks.join(left, path_col, "left_anti"), left
 
 
 def with_chunk_index(chunks: DataFrame, path_col: str = "path", order: str = "seq") -> DataFrame:
@@ -67,7 +89,9 @@ def with_chunk_index(chunks: DataFrame, path_col: str = "path", order: str = "se
 
 def recursive_split(text: str, size: int = 1000, overlap: int = 200, language: str = "") -> list[str]:
     """Pieces of at most ``size`` characters where separators allow, cut at the strongest separator that occurs."""
-    return _recursive(text, SEPARATORS.get(language, SEPARATORS[""]), size, overlap)
+    known = SPLITTABLE.get(language, language)
+    known = "typescript" if known == "javascript" else "java" if known == "csharp" else known
+    return _recursive(text, SEPARATORS.get(known, SEPARATORS[""]), size, overlap)
 
 
 def _recursive(text: str, separators: list[str], size: int, overlap: int) -> list[str]:
@@ -123,6 +147,54 @@ def window_split(text: str, size: int = 1000, overlap: int = 200) -> list[tuple[
     return out
 
 
+class Splitter(Protocol):
+    """Anything that cuts a text into (content, start_line, end_line) pieces."""
+
+    def split(self, text: str, language: str) -> list[tuple[str, int, int]]: ...
+
+
+class DefinitionSplitter:
+    """At definitions where the language has rules (see ``SPLITTABLE``), else recursively."""
+
+    def split(self, text: str, language: str) -> list[tuple[str, int, int]]:
+        known = SPLITTABLE.get(language.lower())
+        return definition_split(text, known) if known else RecursiveSplitter().split(text, language)
+
+
+class RecursiveSplitter:
+    """At the strongest separator of the language; lines are those of a piece's first occurrence after the last one."""
+
+    def __init__(self, size: int = 1000, overlap: int = 200):
+        self.size, self.overlap = size, overlap
+
+    def split(self, text: str, language: str) -> list[tuple[str, int, int]]:
+        out, at = [], 0
+        for p in recursive_split(text, self.size, self.overlap, language.lower()):
+            found = text.find(p, max(0, at - self.overlap - 1))
+            at = (found if found >= 0 else at) + len(p)
+            out.append((p, *estimated_lines(text, p, max(found, 0))))
+        return out
+
+
+class WindowSplitter:
+    """Whole lines up to a size, the last ones repeated."""
+
+    def __init__(self, size: int = 1000, overlap: int = 200):
+        self.size, self.overlap = size, overlap
+
+    def split(self, text: str, language: str) -> list[tuple[str, int, int]]:
+        return window_split(text, self.size, self.overlap)
+
+
+SPLITTERS = {"definitions": lambda size, overlap: DefinitionSplitter(), "recursive": RecursiveSplitter, "window": WindowSplitter}
+
+
+def estimated_lines(text: str, piece: str, at: int) -> tuple[int, int]:
+    """The first and last line of a piece that begins at a position of a text."""
+    first = text.count("\n", 0, at) + 1
+    return first, first + piece.count("\n")
+
+
 _BRACED = re.compile(r"^\s*(?:(?:export|default|declare|public|private|protected|internal|static|abstract|final|sealed|async|pub(?:\([^)]*\))?|unsafe|const)\s+)*(?:function|class|interface|enum|struct|trait|impl|func|fn|type)\b|^\s+(?:(?:public|private|protected|internal|static|async|virtual|override|final)\s+)*(?!if|for|while|switch|catch|return|else)[\w<>\[\], ?]*\b\w+\s*\([^;{}]*\)[^;{}]*\{\s*$")
 
 
@@ -152,29 +224,17 @@ def definition_split(text: str, language: str) -> list[tuple[str, int, int]]:
     return [("\n".join(lines[a - 1 : b]), a, b) for a, b in sorted(set(spans), key=lambda s: (s[0], -s[1]))]
 
 
-def chunk_files(files: DataFrame, splitter: str = "definitions", path_col: str = "path", language_col: str = "language", content_col: str = "content", size: int = 1000, overlap: int = 200) -> DataFrame:
-    """(path, seq, content, start_line, end_line) by a splitter: definitions, recursive or window.
+def chunk_files(files: DataFrame, splitter: str | Splitter = "definitions", path_col: str = "path", language_col: str = "language", content_col: str = "content", size: int = 1000, overlap: int = 200) -> DataFrame:
+    """(path, seq, content, start_line, end_line) by a splitter: the name of one of ``SPLITTERS``, or any ``Splitter``.
 
-    Null contents give no chunks. Lines of recursive pieces are those of their first occurrence after the last piece.
+    Null contents give no chunks; a null language is unknown.
     """
     base = files.select(F.col(path_col).alias("path"), F.coalesce(F.col(language_col), F.lit("")).alias("language"), F.col(content_col).alias("content")).where("content is not null")
-
-    def pieces(text: str, language: str):
-        if splitter == "definitions":
-            return definition_split(text, language)
-        if splitter == "window":
-            return window_split(text, size, overlap)
-        out, at = [], 0
-        for p in recursive_split(text, size, overlap, language):
-            found = text.find(p, max(0, at - overlap - 1))
-            at = (found if found >= 0 else at) + len(p)
-            first = text.count("\n", 0, max(found, 0)) + 1
-            out.append((p, first, first + p.count("\n")))
-        return out
+    cutter = SPLITTERS[splitter](size, overlap) if isinstance(splitter, str) else splitter
 
     def run(batches):
         for batch in batches:
-            rows = [(p, k, *x) for p, lang, t in zip(*(c.to_pylist() for c in batch.columns)) for k, x in enumerate(pieces(t, lang))]
+            rows = [(p, k, *x) for p, lang, t in zip(*(c.to_pylist() for c in batch.columns)) for k, x in enumerate(cutter.split(t, lang))]
             cols = list(zip(*rows)) if rows else [()] * 5
             types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["path", "seq", "content", "start_line", "end_line"])

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import re
+import time
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlode.functions.text import embedding_text
+from siftlode.functions.text import embedding_text, words_of
 
 
 class Embedder(Protocol):
@@ -32,9 +33,9 @@ class HashingEmbedder:
     def embed_batch(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dimension))
         for i, t in enumerate(texts):
-            for w in re.findall(r"[a-z0-9]+", t.lower()):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % self.dimension] += 1 if h >> 63 else -1
+            for w in words_of(t):
+                h = hashlib.md5(w.encode()).hexdigest()
+                out[i, int(h[:8], 16) % self.dimension] += 1 if h[8] >= "8" else -1
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(size == 0, 1, size)).tolist()
 
@@ -43,6 +44,32 @@ class EmbeddingError(RuntimeError):
     pass
 
 
+class Retrying:
+    """An embedder that asks another again when it fails for a passing reason: too many requests or a server's error.
+
+    An error counts as passing if it has such a ``status``; others are raised at once.
+    """
+
+    def __init__(self, inner: Embedder, waits: tuple[float, ...] = (1, 2, 4), sleep: Callable[[float], None] = time.sleep):
+        self.inner, self.waits, self.sleep, self.dimension = inner, waits, sleep, inner.dimension
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        for wait in (*self.waits, None):
+            try:
+                return self.inner.embed_batch(texts)
+            except Exception as e:
+                status = getattr(e, "status", None)
+                if wait is None or not (status == 429 or isinstance(status, int) and 500 <= status < 600):
+                    raise
+                self.sleep(wait)
+        raise AssertionError
+
+
+def detected_dimension(embedder: Embedder) -> int:
+    """The length of what an embedder returns for a short text."""
+    return len(embedder.embed_batch(["test"])[0])
+
+
 def checked(embedder: Embedder, texts: list[str]) -> list[list[float]]:
     """The vectors of a batch; an error if their number or any length is wrong, so that the whole write fails."""
     got = embedder.embed_batch(texts)

@@ -10,7 +10,7 @@ import ast
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlode.functions.text import graph_language, module_name
@@ -28,6 +28,12 @@ _DEFINITIONS = {
 }
 _DEFINITIONS["javascript"] = _DEFINITIONS["typescript"]
 _DEFINITIONS = {k: [(re.compile(p), label) for p, label in v] for k, v in _DEFINITIONS.items()}
+#: A variable at the top level of a file.
+_VARIABLE = {
+    "typescript": re.compile(rf"^(?:export\s+)?(?:const|let|var)\s+{_NAME}\b"), "go": re.compile(rf"^(?:var|const)\s+{_NAME}\b"),
+    "rust": re.compile(rf"^(?:pub(?:\([^)]*\))?\s+)?(?:static|const)\s+(?:mut\s+)?{_NAME}\s*:"),
+}
+_VARIABLE["javascript"] = _VARIABLE["typescript"]
 _IMPORTS = {
     "typescript": re.compile(r"^\s*import\s+(?:type\s+)?(.+?)\s+from\s+['\"]([^'\"]+)['\"]|require\(\s*['\"]([^'\"]+)['\"]\s*\)", re.M),
     "go": re.compile(r"^\s*(?:import\s+)?(?:\w+\s+)?\"([^\"]+)\"\s*$", re.M),
@@ -81,6 +87,9 @@ def _python_rows(text: str) -> tuple[list, list, list]:
                 calls.append((owner, callee, child.lineno))
             walk(child, outer, in_class, owner)
 
+    for top in tree.body:
+        targets = top.targets if isinstance(top, ast.Assign) else [top.target] if isinstance(top, ast.AnnAssign) else []
+        defs.extend((t.id, t.id, "Variable", top.lineno, top.end_lineno) for t in targets if isinstance(t, ast.Name))
     walk(tree, "", False, "")
     return defs, imports, calls
 
@@ -103,6 +112,8 @@ def _line_rows(text: str, lang: str) -> tuple[list, list, list]:
                     open_.append((depth, len(defs) - 1))
                 made = True
                 break
+        if not made and depth == 0 and lang in _VARIABLE and (m := _VARIABLE[lang].match(bare)):
+            defs.append([m.group(1), m.group(1), "Variable", k, k])
         if not made:
             owner = next((defs[i][0] for _, i in reversed(open_) if defs[i][2] in ("Function", "Method")), "")
             calls += [(owner, c, k) for c in _CALL.findall(bare) if c not in _NOT_CALLS]
@@ -131,7 +142,7 @@ def routes_of(text: str) -> list[tuple[str, str, str, int]]:
     return sorted(set(found), key=lambda r: (r[3], r))
 
 
-_FACTS = "project string, path string, kind string, name string, detail string, label string, start_line int, end_line int"
+FACTS = "project string, path string, kind string, name string, detail string, label string, start_line int, end_line int"
 
 
 def file_facts(files: DataFrame, project_col: str = "project", path_col: str = "path", content_col: str = "content") -> DataFrame:
@@ -156,34 +167,119 @@ def file_facts(files: DataFrame, project_col: str = "project", path_col: str = "
             cols = list(zip(*rows)) if rows else [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["project", "path", "kind", "name", "detail", "label", "start_line", "end_line"])
 
-    return spread(base).mapInArrow(run, _FACTS)
+    return spread(base).mapInArrow(run, FACTS)
+
+
+def _qualified(detail: Column) -> Column:
+    return F.concat_ws(".", module_name(F.col("project"), F.col("path")), F.when(detail == "", F.lit(None)).otherwise(detail))
 
 
 def graph_of(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, registry, calls) of facts: definitions as nodes, and the inputs of call resolution."""
-    defs = facts.where("kind = 'def'").withColumn("module_qn", module_name(F.col("project"), F.col("path")))
-    qn = F.concat_ws(".", "module_qn", "detail")
+    """(nodes, registry, calls) of facts: definitions as nodes, and the inputs of call resolution, by project.
+
+    The imports of a file travel as one map a file, joined to its calls; of a name imported twice the first path counts.
+    """
+    defs = facts.where("kind = 'def'")
+    qn = _qualified(F.col("detail"))
     nodes = defs.select(F.xxhash64("project", qn).alias("id"), "project", "label", "name", qn.alias("qualified_name"), F.col("path").alias("file_path"), "start_line", "end_line", F.lit("{}").alias("properties")).dropDuplicates(["project", "qualified_name"])
-    registry = nodes.where(F.col("label").isin("Function", "Method", "Class")).select(F.col("id").alias("seq"), "name", "qualified_name", "label")
-    imports = facts.where("kind = 'import'").groupBy("project", "path").agg(F.array_sort(F.collect_set(F.struct("name", "detail"))).alias("i"))
+    order = F.xxhash64("id")  # a stable order of definitions
+    registry = nodes.where(F.col("label").isin("Function", "Method", "Class")).select("project", order.alias("seq"), "name", "qualified_name", "label")
+    once = facts.where("kind = 'import'").groupBy("project", "path", "name").agg(F.min("detail").alias("detail"))
+    dotted = F.regexp_replace(F.regexp_replace("detail", r"^[./]+", ""), "[/:]+", ".")
+    pairs = F.array_sort(F.collect_list(F.struct("name", dotted.alias("value"))))
+    imports = once.groupBy("project", "path").agg(pairs.alias("i"))
     calls = facts.where("kind = 'call'").join(imports, ["project", "path"], "left")
-    unique = F.map_from_entries(F.transform(F.array_distinct(F.transform(F.coalesce("i", F.array().cast("array<struct<name:string,detail:string>>")), lambda x: x["name"])), lambda n: F.struct(n, F.element_at(F.filter("i", lambda x: x["name"] == n), 1)["detail"])))
-    calls = calls.withColumn("m", unique)
-    module = module_name(F.col("project"), F.col("path"))
-    return nodes, registry, calls.select(F.xxhash64("project", "path", "detail", "name", "start_line").alias("call_id"), F.col("name").alias("callee"), module.alias("module_qn"), F.map_keys("m").alias("import_keys"), F.transform(F.map_values("m"), lambda v: F.regexp_replace(F.regexp_replace(v, r"^[./]+", ""), "[/:]+", ".")).alias("import_vals"), F.concat_ws(".", module, "detail").alias("caller_qn")).dropDuplicates(["call_id"])
+    names, values = F.transform("i", lambda x: x["name"]), F.transform("i", lambda x: x["value"])
+    none = F.array().cast("array<string>")
+    rows = calls.select("project", F.xxhash64("project", "path", "detail", "name", "start_line").alias("call_id"), F.col("name").alias("callee"), module_name(F.col("project"), F.col("path")).alias("module_qn"), F.coalesce(names, none).alias("import_keys"), F.coalesce(values, none).alias("import_vals"), _qualified(F.col("detail")).alias("caller_qn"))
+    return nodes, registry, rows.dropDuplicates(["call_id"])
 
 
 def call_edges(calls: DataFrame, resolved: DataFrame, nodes: DataFrame) -> DataFrame:
     """(project, source_id, target_id, type, properties): resolved calls between known definitions, no self calls."""
     ids = nodes.select("id", "qualified_name", "project", "file_path")
-    met = calls.select("call_id", "caller_qn").join(resolved.where("qualified_name <> ''"), "call_id")
-    src = ids.select(F.col("id").alias("source_id"), F.col("qualified_name").alias("caller_qn"), "project", F.col("file_path").alias("source_file"))
-    tgt = ids.select(F.col("id").alias("target_id"), "qualified_name", F.col("file_path").alias("target_file"))
-    both = met.join(src, "caller_qn").join(tgt, "qualified_name").where("source_id <> target_id")
+    met = calls.select("project", "call_id", "caller_qn").join(resolved.where("qualified_name <> ''"), "call_id")
+    src = ids.select("project", F.col("id").alias("source_id"), F.col("qualified_name").alias("caller_qn"), F.col("file_path").alias("source_file"))
+    tgt = ids.select("project", F.col("id").alias("target_id"), "qualified_name", F.col("file_path").alias("target_file"))
+    both = met.join(src, ["project", "caller_qn"]).join(tgt, ["project", "qualified_name"]).where("source_id <> target_id")
     props = F.to_json(F.struct("strategy", "confidence", (F.col("source_file") != F.col("target_file")).alias("crossFile")))
     return both.groupBy("project", "source_id", "target_id").agg(F.max(props).alias("properties")).select("project", "source_id", "target_id", F.lit("CALLS").alias("type"), "properties")
 
 
+_NODE = ("id", "project", "label", "name", "qualified_name", "file_path", "start_line", "end_line", "properties")
+
+
+def _node(rows: DataFrame, label: str, name: Column, qn: Column, properties: Column) -> DataFrame:
+    made = rows.select(F.xxhash64("project", qn).alias("id"), "project", F.lit(label).alias("label"), name.alias("name"), qn.alias("qualified_name"), F.col("path").alias("file_path"), F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), properties.alias("properties"))
+    return made.dropDuplicates(["project", "qualified_name"]).select(*_NODE)
+
+
+def module_rows(facts: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Module nodes of imports, one a project and import path, and IMPORTS edges from the definitions that call what was imported.
+
+    A node lists its imported names; an edge goes from a definition whose call's first part is an imported name.
+    """
+    imports = facts.where("kind = 'import'").select("project", "path", F.col("name").alias("imported"), "detail", "start_line")
+    grouped = imports.groupBy("project", "detail").agg(F.min(F.struct("path", "start_line")).alias("at"), F.array_sort(F.collect_set("imported")).alias("names"))
+    rows = grouped.select("project", F.col("at.path").alias("path"), F.col("at.start_line").alias("start_line"), F.col("at.start_line").alias("end_line"), "detail", "names")
+    qn = F.concat_ws(".", "project", F.lit("module"), "detail")
+    modules = _node(rows, "Module", F.col("detail"), qn, F.to_json(F.struct(F.col("detail").alias("importPath"), F.col("names").alias("importedNames"))))
+    head = F.regexp_extract("name", r"^([^.:]+)", 1)
+    used = facts.where("kind = 'call'").select("project", "path", head.alias("imported"), _qualified(F.col("detail")).alias("qualified_name"))
+    met = used.join(imports.select("project", "path", "imported", "detail"), ["project", "path", "imported"])
+    src = met.join(nodes.select("project", "qualified_name", F.col("id").alias("source_id")), ["project", "qualified_name"])
+    edges = src.groupBy("project", "source_id", F.xxhash64("project", qn).alias("target_id")).agg(F.to_json(F.struct(F.array_sort(F.collect_set("imported")).alias("names"))).alias("properties"))
+    return modules, edges.select("project", "source_id", "target_id", F.lit("IMPORTS").alias("type"), "properties")
+
+
+def route_rows(facts: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Route nodes (method and path), and HANDLES edges to the handler of that name in the route's file."""
+    rows = facts.where("kind = 'route'").withColumnRenamed("name", "route")
+    title = F.concat_ws(" ", "label", "route")
+    qn = F.concat(F.col("project"), F.lit(".route."), F.regexp_replace("path", "/", "."), F.lit("."), F.col("label"), F.lit(":"), F.col("route"))
+    routes = _node(rows, "Route", title, qn, F.to_json(F.struct(F.col("label").alias("method"), F.col("route").alias("path"), F.col("detail").alias("handlerName"))))
+    named = rows.where("detail <> ''").select("project", F.col("path").alias("file_path"), F.col("detail").alias("name"), F.xxhash64("project", qn).alias("source_id"), F.to_json(F.struct(F.col("label").alias("method"), F.col("route").alias("path"))).alias("properties"))
+    handlers = nodes.where(F.col("label").isin("Function", "Method")).groupBy("project", "file_path", "name").agg(F.min_by("id", F.struct("start_line", "id")).alias("target_id"))
+    edges = named.join(handlers, ["project", "file_path", "name"]).groupBy("project", "source_id", "target_id").agg(F.min("properties").alias("properties"))
+    return routes, edges.select("project", "source_id", "target_id", F.lit("HANDLES").alias("type"), "properties")
+
+
+def resource_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Resource nodes of Dockerfiles and manifests of (project, path, content), and CONFIGURES edges between instructions."""
+    from siftlode.functions.text import is_dockerfile
+
+    keyed = files.where("content is not null").select("project", "path", F.concat_ws("\n", "project", "path").alias("key"), "content")
+    docker, steps = dockerfile_resources(keyed.where(is_dockerfile(F.col("path"))), "key")
+    named = lambda df: df.select(F.element_at(F.split("path", "\n"), 1).alias("project"), F.element_at(F.split("path", "\n"), 2).alias("file"), *[c for c in df.columns if c != "path"]).withColumnRenamed("file", "path")
+    rows = named(docker).withColumn("start_line", F.col("line")).withColumn("end_line", F.col("line"))
+    qn = F.concat(F.col("project"), F.lit(".dockerfile."), F.col("path"), F.lit(".L"), F.col("line").cast("string"), F.lit("."), F.col("instruction"))
+    title = F.concat(F.col("instruction"), F.lit(" "), F.substring("argument", 1, 60))
+    image = F.when(F.col("instruction") == "FROM", F.element_at(F.split("argument", ":"), 1))
+    props = F.to_json(F.struct("instruction", F.col("argument").alias("args"), F.lit("dockerfile").alias("language"), image.alias("baseImage"), F.when(F.col("instruction") == "EXPOSE", F.col("argument")).alias("port"), F.when(F.col("instruction") == "ENV", F.element_at(F.split("argument", "="), 1)).alias("envVar")))
+    nodes = _node(rows, "Resource", title, qn, props)
+    at = rows.select("project", "path", "position", F.xxhash64("project", qn).alias("id"))
+    linked = named(steps).join(at.select("project", "path", F.col("position").alias("from_position"), F.col("id").alias("source_id")), ["project", "path", "from_position"])
+    linked = linked.join(at.select("project", "path", F.col("position").alias("to_position"), F.col("id").alias("target_id")), ["project", "path", "to_position"])
+    edges = linked.select("project", "source_id", "target_id", F.lit("CONFIGURES").alias("type"), F.to_json(F.struct(F.col("to_position").alias("order"))).alias("properties"))
+    manifests = named(kubernetes_resources(keyed.where(F.lower("path").rlike(r"\.ya?ml$")), "key")).withColumn("start_line", F.col("line")).withColumn("end_line", F.col("line"))
+    kube = _node(manifests, "Resource", F.concat_ws("/", "kind", "name"), F.concat(F.col("project"), F.lit(".k8s."), F.col("path"), F.lit("."), F.col("kind"), F.lit("."), F.col("name"), F.lit(".L"), F.col("line").cast("string")), F.to_json(F.struct("kind", "name", "namespace", F.lit("kubernetes").alias("language"))))
+    return nodes.unionByName(kube), edges
+
+
+def graph_rows(facts: DataFrame, registry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of facts: definitions, modules and routes; calls, imports and handlers.
+
+    Calls resolve against ``registry`` where it is given, so that part of a project can be read anew.
+    """
+    from siftlode.operators.graph.resolve import resolve_calls
+
+    nodes, own, calls = graph_of(facts)
+    known = own if registry is None else registry
+    modules, imported = module_rows(facts, nodes)
+    routes, handled = route_rows(facts, nodes)
+    return nodes.unionByName(modules).unionByName(routes), call_edges(calls, resolve_calls(calls, known), nodes).unionByName(imported).unionByName(handled)
+
+
 def dockerfile_resources(files: DataFrame, path_col: str = "path", content_col: str = "content") -> tuple[DataFrame, DataFrame]:
     """Dockerfile instructions: nodes (path, position, instruction, argument, line), edges (path, from_position, to_position).
 

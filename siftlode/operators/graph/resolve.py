@@ -1,9 +1,11 @@
 """Resolving calls to definitions by a chain of strategies.
 
-registry(seq, name, qualified_name, label); calls(call_id, callee, module_qn, import_keys, import_vals). Each strategy
-is an equi-join that gives candidates with a priority; the first strategy that gives any wins, and within it the best
-candidate. A name with more than ``MAX_CANDIDATES`` definitions resolves by no name-based strategy, so joins by name
-are against at most that many rows a name.
+registry(project, seq, name, qualified_name, label); calls(project, call_id, callee, module_qn, import_keys,
+import_vals). A registry is one project's: calls resolve only to definitions of their own project, and candidates are
+counted there. Without a column ``project`` all rows are of one project. Each strategy is an equi-join that gives
+candidates with a priority; the first strategy that gives any wins, and within it the best candidate. A name with more
+than ``MAX_CANDIDATES`` definitions in a project resolves by no name-based strategy, so joins by name are against at
+most that many rows a project and name. Call ids are unique over all projects.
 """
 
 from __future__ import annotations
@@ -28,29 +30,39 @@ def _score(qn: Column, module: Column) -> Column:
     return F.when(is_test_name(simple_name(qn)) | F.lower(qn).rlike(r"(^|[._/])(test|mock|stub|fake|fixture|spec)s?[._/]"), 0).otherwise(1000) + common_prefix(qn, module)
 
 
+def _named(df: DataFrame) -> DataFrame:
+    return df if "project" in df.columns else df.withColumn("project", F.lit(""))
+
+
+def _crowds(registry: DataFrame, count: str) -> DataFrame:
+    """(project, simple, qualified_name, seq, count) of the definitions whose name is not too common in their project."""
+    reg = _named(registry).select("project", "seq", "qualified_name", simple_name(F.col("qualified_name")).alias("simple"))
+    crowd = reg.groupBy("project", "simple").agg(F.count("*").alias(count))
+    return reg.join(crowd.where(F.col(count) <= MAX_CANDIDATES), ["project", "simple"])
+
+
 def resolve_calls(calls: DataFrame, registry: DataFrame) -> DataFrame:
     """(call_id, qualified_name, strategy, confidence, candidate_count); unresolved calls have an empty name and 0."""
-    reg = registry.select("seq", "qualified_name", simple_name(F.col("qualified_name")).alias("simple"))
-    crowd = reg.groupBy("simple").agg(F.count("*").alias("n_all"))
-    byname = reg.join(crowd.where(F.col("n_all") <= MAX_CANDIDATES), "simple")
+    reg = _named(registry).select("project", "seq", "qualified_name")
+    byname = _crowds(registry, "n_all")
     prefix = F.regexp_extract("callee", r"^(.*?)(?:\.|::)", 1)
     rest = F.regexp_replace("callee", r"^.*?(?:\.|::)", "")
     imports = F.map_from_arrays("import_keys", "import_vals")
-    base = calls.select("call_id", "callee", "module_qn", "import_keys", "import_vals", simple_name(F.col("callee")).alias("simple"), prefix.alias("prefix"), F.when(prefix == "", F.lit(None)).otherwise(F.regexp_replace(rest, "::", ".")).alias("rest"))
+    base = _named(calls).select("project", "call_id", "callee", "module_qn", "import_keys", "import_vals", simple_name(F.col("callee")).alias("simple"), prefix.alias("prefix"), F.when(prefix == "", F.lit(None)).otherwise(F.regexp_replace(rest, "::", ".")).alias("rest"))
     base = base.withColumn("whole", F.try_element_at(imports, F.col("callee"))).withColumn("via", F.try_element_at(imports, F.col("prefix")))
     any_import = F.size(F.filter("import_vals", lambda v: v != "")) > 0
 
     def exact(name: Column, strategy: str, priority: int) -> DataFrame:
-        rows = base.select("call_id", "module_qn", name.alias("qualified_name")).where("qualified_name is not null")
-        return rows.join(reg.select("qualified_name", "seq"), "qualified_name", "left_semi").select("call_id", "qualified_name", F.lit(strategy).alias("strategy"), F.lit(CONFIDENCE[strategy]).alias("confidence"), F.lit(1).cast("long").alias("candidate_count"), F.lit(priority).alias("priority"))
+        rows = base.select("project", "call_id", "module_qn", name.alias("qualified_name")).where("qualified_name is not null")
+        return rows.join(reg.select("project", "qualified_name", "seq"), ["project", "qualified_name"], "left_semi").select("call_id", "qualified_name", F.lit(strategy).alias("strategy"), F.lit(CONFIDENCE[strategy]).alias("confidence"), F.lit(1).cast("long").alias("candidate_count"), F.lit(priority).alias("priority"))
 
     direct = [
-        exact(F.coalesce(F.when(F.col("rest").isNotNull(), F.concat_ws(".", "via", "rest")), F.when(F.col("whole").isNotNull(), F.concat_ws(".", "whole", "simple"))), "import_map", 1),
+        exact(F.coalesce(F.concat("via", F.lit("."), "rest"), F.concat("whole", F.lit("."), "simple")), "import_map", 1),
         exact(F.when(F.col("rest").isNull(), F.col("whole")), "import_map", 1),
-        exact(F.concat_ws(".", "module_qn", "callee"), "same_module", 3),
-        exact(F.concat_ws(".", "module_qn", "rest"), "same_module", 3),
+        exact(F.concat("module_qn", F.lit("."), "callee"), "same_module", 3),
+        exact(F.concat("module_qn", F.lit("."), "rest"), "same_module", 3),
     ]
-    named = base.join(byname, "simple").select("call_id", "callee", "module_qn", "import_vals", "via", "rest", any_import.alias("any_import"), "qualified_name", "seq", "n_all")
+    named = base.join(byname, ["project", "simple"]).select("call_id", "callee", "module_qn", "import_vals", "via", "rest", any_import.alias("any_import"), "qualified_name", "seq", "n_all")
     named = named.withColumn("reach", _reachable(F.col("import_vals"), F.col("qualified_name"))).withColumn("score", _score(F.col("qualified_name"), F.col("module_qn")))
     per = Window.partitionBy("call_id")
     via = named.where(F.col("via").isNotNull() & F.col("rest").isNotNull() & F.col("qualified_name").startswith(F.concat("via", F.lit("."))))
@@ -73,9 +85,8 @@ def resolve_calls(calls: DataFrame, registry: DataFrame) -> DataFrame:
 
 def fuzzy_resolve(calls: DataFrame, registry: DataFrame) -> DataFrame:
     """(call_id, qualified_name, confidence): by simple name alone, halved if imports are given and none reaches it."""
-    reg = registry.select("seq", "qualified_name", simple_name(F.col("qualified_name")).alias("simple"))
-    crowd = reg.groupBy("simple").agg(F.count("*").alias("n"))
-    met = calls.withColumn("simple", simple_name(F.col("callee"))).join(reg.join(crowd.where(F.col("n") <= MAX_CANDIDATES), "simple"), "simple")
+    reg = _crowds(registry, "n").select("project", "simple", "seq", "qualified_name", "n")
+    met = _named(calls).withColumn("simple", simple_name(F.col("callee"))).join(reg, ["project", "simple"])
     met = met.withColumn("reach", _reachable(F.col("import_vals"), F.col("qualified_name")))
     w = Window.partitionBy("call_id").orderBy(F.desc("reach"), F.desc(_score(F.col("qualified_name"), F.col("module_qn"))), "seq")
     top = met.withColumn("k", F.row_number().over(w)).where("k = 1")

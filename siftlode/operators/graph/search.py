@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from siftlode.operators.graph.tables import degrees
 
 
+#: The weights of a node's texts in a search by words.
+WEIGHTS = {"name": 1.0, "qualified_name": 2.0, "file_path": 0.5}
+
+
 def _holds(col: str, pattern: str) -> Column:
     """A case-insensitive literal search; wildcard characters are dropped, as in a pattern of plain words."""
     return F.lower(F.col(col)).contains(re.sub(r"[*?^${}()\[\]]", "", pattern).lower())
 
 
-def find_nodes(nodes: DataFrame, edges: DataFrame | None = None, project: str | None = None, label: str | None = None, name: str | None = None, qualified_name: str | None = None, file: str | None = None, exact_file: str | None = None, min_degree: int | None = None, max_degree: int | None = None, limit: int = 200, offset: int = 0) -> DataFrame:
+def find_nodes(nodes: DataFrame, edges: DataFrame | None = None, project: str | None = None, label: str | None = None, name: str | None = None, qualified_name: str | None = None, file: str | None = None, exact_file: str | None = None, min_degree: int | None = None, max_degree: int | None = None, limit: int | None = 200, offset: int = 0) -> DataFrame:
     """A page of nodes by name, then id, with their degrees if edges are given; the degree filter comes before the page."""
     rows = nodes
     for col, value in (("project", project), ("label", label), ("file_path", exact_file)):
@@ -31,7 +35,14 @@ def find_nodes(nodes: DataFrame, edges: DataFrame | None = None, project: str |
             rows = rows.where(total >= min_degree)
         if max_degree is not None:
             rows = rows.where(total <= max_degree)
-    return rows.orderBy("name", "id").offset(offset).limit(limit)
+    return rows if limit is None else rows.orderBy("name", "id").offset(offset).limit(limit)
+
+
+def found_page(rows: DataFrame, order: list, limit: int = 200, offset: int = 0) -> tuple[DataFrame, int, bool]:
+    """(page, total, has_more) of rows in an order."""
+    total = rows.count()
+    page = rows.orderBy(*order).offset(offset).limit(limit)
+    return page, total, offset + min(limit, max(0, total - offset)) < total
 
 
 _MATCH = re.compile(r"^\s*MATCH\s*\(\s*(\w+)(?:\s*:\s*(\w+))?\s*\)\s*(?:WHERE\s+(.*?))?\s*RETURN\s+.+$", re.I | re.S)
@@ -75,11 +86,27 @@ def smallest_node(lines: DataFrame, nodes: DataFrame, path_col: str = "path") ->
 
 
 def once_per_node(matches: DataFrame) -> DataFrame:
-    """Of the lines matched to one node, the first; lines outside nodes all stay."""
+    """Of the lines matched to one node of a file, the first; lines outside nodes all stay."""
     w = Window.partitionBy("path", "node_id").orderBy("line")
     return matches.withColumn("r", F.row_number().over(w)).where("r = 1 or node_id = '-1'").drop("r")
 
 
+def search_code(files: DataFrame, nodes: DataFrame, pattern: str, regex: bool = False, path_filter: str | None = None, limit: int = 10) -> tuple[DataFrame, dict]:
+    """(path, line, text, node_id, name, label) of grep hits, each node once, in order of path and line; and the totals.
+
+    A hit outside all nodes stands for its file (node_id -1, label File). ``limit`` is a page of the result; the
+    totals are of all hits.
+    """
+    hits = grep(files, pattern, regex, path_filter)
+    placed = once_per_node(smallest_node(hits.select("path", "line"), nodes)).join(hits, ["path", "line"])
+    titles = nodes.select(F.col("id").cast("string").alias("node_id"), "name", "label", F.col("file_path").alias("path"))
+    named = placed.join(titles, ["node_id", "path"], "left")
+    base = F.element_at(F.split("path", "/"), -1)
+    rows = named.select("path", "line", F.trim("text").alias("text"), "node_id", F.coalesce("name", base).alias("name"), F.coalesce("label", F.lit("File")).alias("label"))
+    totals = {"matches": hits.count(), "results": rows.count()}
+    return rows.orderBy("path", "line").limit(limit), totals
+
+
 def snippet(content: Column, start: Column, end: Column) -> Column:
     """The lines start to end, from 1, of a text."""
     return F.array_join(F.slice(F.split(content, "\n"), F.greatest(start, F.lit(1)).cast("int"), F.greatest(end - start + 1, F.lit(1)).cast("int")), "\n")
@@ -96,18 +123,41 @@ def neighbours(edges: DataFrame, nodes: DataFrame, types: tuple[str, ...] = ("CA
 
 
 def enrich(nodes: DataFrame, edges: DataFrame, top: int = 3) -> DataFrame:
-    """(id, callers, callees, top_callers, flag) of nodes: counts, the first names, ``unused`` or ``entry``."""
-    near = neighbours(edges, nodes)
-    kept = F.slice(F.array_sort(F.collect_set("neighbour")), 1, top)
-    per = near.groupBy("id", "direction").agg(F.count("*").alias("n"), kept.alias("names"))
-    callers = per.where("direction = 'caller'").select("id", F.col("n").alias("callers"), F.array_join("names", ",").alias("top_callers"))
-    callees = per.where("direction = 'callee'").select("id", F.col("n").alias("callees"))
-    joined = nodes.select("id", "label").join(callers, "id", "left").join(callees, "id", "left")
+    """(id, callers, callees, top_callers, top_callees, flag) of nodes: counts, the first names, ``unused`` or ``entry``.
+
+    Callers are the sources of CALLS edges, callees the targets of edges of any type.
+    """
+    into = edges.where("type = 'CALLS'").select(F.col("target_id").alias("id"), F.col("source_id").alias("other"))
+    out = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("other"))
+    names = nodes.select(F.col("id").alias("other"), "name")
+
+    def side(pairs: DataFrame, count: str, first: str) -> DataFrame:
+        named = pairs.join(names, "other", "left").withColumn("name", F.coalesce("name", F.lit("?")))
+        return named.groupBy("id").agg(F.count("*").alias(count), F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, top), ",").alias(first))
+
+    joined = nodes.select("id", "label").join(side(into, "callers", "top_callers"), "id", "left").join(side(out, "callees", "top_callees"), "id", "left")
     a, b = F.coalesce("callers", F.lit(0)), F.coalesce("callees", F.lit(0))
     flag = F.when((a == 0) & (b == 0), "unused").when((a == 0) & (F.col("label") == "Function"), "entry").otherwise("")
-    return joined.select("id", a.alias("callers"), b.alias("callees"), F.coalesce("top_callers", F.lit("")).alias("top_callers"), flag.alias("flag"))
+    return joined.select("id", a.alias("callers"), b.alias("callees"), F.coalesce("top_callers", F.lit("")).alias("top_callers"), F.coalesce("top_callees", F.lit("")).alias("top_callees"), flag.alias("flag"))
 
 
 def impacted(nodes: DataFrame, changed: DataFrame) -> DataFrame:
-    """Nodes in changed files; (file_path) rows must name files as nodes do."""
-    return nodes.join(changed.select("file_path").distinct(), "file_path", "left_semi")
+    """Nodes whose file path holds the path of a changed file, whatever stands before it.
+
+    A path is taken apart into its endings at each ``/``, so the join is on equal text and no pair of lists is crossed.
+    """
+    ends = nodes.select("id", F.explode(_endings(F.col("file_path"))).alias("file_path"))
+    names = changed.select(F.lower("file_path").alias("file_path")).distinct()
+    return nodes.join(ends.join(names, "file_path", "left_semi").select("id").distinct(), "id", "left_semi")
+
+
+def _endings(path: Column) -> Column:
+    parts = F.split(F.lower(path), "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+
+
+def route_summary(nodes: DataFrame, k: int = 5) -> DataFrame:
+    """(project, routes, first): how many routes a project has, and the first k by name."""
+    rows = nodes.where("label = 'Route'")
+    names = F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, k), "; ")
+    return rows.groupBy("project").agg(F.count("*").alias("routes"), names.alias("first"))

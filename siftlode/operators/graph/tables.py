@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The labels of nodes and the types of edges.
 LABELS = ("Function", "Method", "Class", "Interface", "Struct", "Enum", "Variable", "Module", "File", "Folder", "Package", "Route", "Resource", "ADR")
 EDGE_TYPES = (
     "CALLS", "IMPORTS", "INHERITS", "IMPLEMENTS", "DECORATES", "HANDLES", "HTTP_CALLS", "ASYNC_CALLS", "DATA_FLOWS", "TYPE_REF",
@@ -25,9 +26,56 @@ def upsert_nodes(nodes: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def dedupe_edges(edges: DataFrame, seq: str = "seq", keep: str = "first") -> DataFrame:
-    """One row per (project, source_id, target_id, type), with the properties of the first or last written row."""
+    """One row per (project, source_id, target_id, type).
+
+    Its properties are those of the ``first`` or ``last`` written row, or with ``merge`` those of all, later ones over
+    earlier ones.
+    """
+    key = ["project", "source_id", "target_id", "type"]
+    if keep == "merge":
+        rows = edges.select(*key, seq, F.explode(_properties(F.col("properties"))).alias("name", "value"))
+        last = rows.groupBy(*key, "name").agg(F.max_by("value", seq).alias("value"))
+        merged = last.groupBy(*key).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value"))))).alias("properties"))
+        return edges.select(*key).distinct().join(merged, key, "left").select(*key, F.coalesce("properties", F.lit("{}")).alias("properties"))
     pick = F.min_by if keep == "first" else F.max_by
-    return edges.groupBy("project", "source_id", "target_id", "type").agg(pick("properties", seq).alias("properties"))
+    return edges.groupBy(*key).agg(pick("properties", seq).alias("properties"))
+
+
+def edges_at(edges: DataFrame, source: Column | str | int | None = None, target: Column | str | int | None = None, types: tuple[str, ...] = (), project: str | None = None, limit: int | None = None) -> DataFrame:
+    """Edges from a source, to a target, of some types and a project; a page of them in order of their ends."""
+    rows = edges
+    for name, value in (("source_id", source), ("target_id", target), ("project", project)):
+        if value is not None:
+            rows = rows.where(F.col(name) == value)
+    if types:
+        rows = rows.where(F.col("type").isin(*types))
+    return rows if limit is None else rows.orderBy("source_id", "target_id", "type").limit(limit)
+
+
+def adjacency(edges: DataFrame, ids: DataFrame, direction: str = "outbound", types: tuple[str, ...] = ()) -> DataFrame:
+    """(id, others): of each given node the nodes at the other end of its edges, in order."""
+    a, b = ("source_id", "target_id") if direction == "outbound" else ("target_id", "source_id")
+    rows = edges_at(edges, types=types).select(F.col(a).alias("id"), F.col(b).alias("other")).join(ids.select("id").distinct(), "id", "left_semi")
+    return rows.groupBy("id").agg(F.array_sort(F.collect_list("other")).alias("others"))
+
+
+def nodes_by_id(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes of the given (id) rows."""
+    return nodes.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def by_qualified_name(nodes: DataFrame, project: str, qualified_name: str) -> DataFrame:
+    return nodes.where((F.col("project") == project) & (F.col("qualified_name") == qualified_name))
+
+
+def distinct_files(nodes: DataFrame) -> DataFrame:
+    """(project, file_path) of all nodes that stand in a file."""
+    return nodes.where("file_path <> ''").select("project", "file_path").distinct()
+
+
+def delete_label(nodes: DataFrame, edges: DataFrame, project: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """Removes all nodes of a label of a project, with their edges."""
+    return delete_nodes(nodes, edges, nodes.where((F.col("project") == project) & (F.col("label") == label)))
 
 
 def drop_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -78,19 +126,38 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(both, "id", "left").select("id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
 
 
-def add_adr(title: Column, content: Column, status: Column, project: Column, created: Column) -> list[Column]:
-    """The columns of an ADR node."""
-    from siftlode.functions.text import adr_slug
-
-    qn = F.concat(project, F.lit(".adr."), adr_slug(title))
-    return [
-        node_id(project, qn).alias("id"), project.alias("project"), F.lit("ADR").alias("label"), title.alias("name"), qn.alias("qualified_name"),
-        F.lit("").alias("file_path"), F.lit(0).cast("long").alias("start_line"), F.lit(0).cast("long").alias("end_line"),
-        F.to_json(F.struct(content.alias("content"), status.alias("status"), created.alias("created"))).alias("properties"),
-    ]
+def _properties(c: Column) -> Column:
+    """A JSON object as a map of texts; unreadable JSON counts as empty."""
+    return F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
 def merge_properties(old: Column, new: Column) -> Column:
     """A shallow merge of two JSON objects, the new one's entries win; unreadable JSON counts as empty."""
-    read = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    return F.to_json(F.map_concat(F.map_filter(read(old), lambda k, _: ~F.array_contains(F.map_keys(read(new)), k)), read(new)))
+    a, b = _properties(old), _properties(new)
+    return F.to_json(F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b))
+
+
+def adr_rows(records: DataFrame) -> DataFrame:
+    """(project, title, content, status, created) rows as ADR nodes, one per project and slug of the title."""
+    from siftlode.functions.text import adr_slug
+
+    qn = F.concat(F.col("project"), F.lit(".adr."), adr_slug(F.col("title")))
+    return records.select(
+        node_id(F.col("project"), qn).alias("id"), "project", F.lit("ADR").alias("label"), F.col("title").alias("name"), qn.alias("qualified_name"),
+        F.lit("").alias("file_path"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.to_json(F.struct("content", "status", "created")).alias("properties"),
+    )
+
+
+def adrs(nodes: DataFrame, project: str | None = None, most: int = 1000) -> DataFrame:
+    """(id, project, title, status, content, created) of the ADRs, at most ``most`` by title."""
+    rows = nodes.where(F.col("label") == "ADR")
+    rows = rows if project is None else rows.where(F.col("project") == project)
+    get = lambda k: F.get_json_object("properties", f"$.{k}").alias(k)
+    return rows.select("id", "project", F.col("name").alias("title"), get("status"), get("content"), get("created")).orderBy("title", "id").limit(most)
+
+
+def update_properties(nodes: DataFrame, changes: DataFrame) -> DataFrame:
+    """Nodes with the properties of (id, properties) rows merged into theirs; unknown ids change nothing."""
+    joined = nodes.join(changes.select("id", F.col("properties").alias("__new")), "id", "left")
+    merged = F.when(F.col("__new").isNull(), F.col("properties")).otherwise(merge_properties(F.col("properties"), F.col("__new")))
+    return joined.withColumn("properties", merged).select(*nodes.columns)

@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 from siftlode.runtime import cut
 
+#: The edge types each mode follows.
 MODES = {
-    "calls": ("CALLS", "ASYNC_CALLS"),
+    "calls": ("CALLS",),
     "data_flow": ("CALLS", "DATA_FLOWS"),
-    "cross_service": ("HTTP_CALLS", "ASYNC_CALLS", "CROSS_HTTP_CALLS", "CROSS_ASYNC_CALLS", "CROSS_CHANNEL", "CALLS"),
+    "cross_service": ("CALLS", "HTTP_CALLS", "ASYNC_CALLS", "CROSS_HTTP_CALLS", "CROSS_ASYNC_CALLS", "CROSS_CHANNEL"),
 }
 
 
+def mode_types(mode: str) -> tuple[str, ...]:
+    """The edge types of a mode; an unknown one follows calls."""
+    return MODES.get(mode, MODES["calls"])
+
+
 def is_test_path(col: str = "file_path"):
     p = F.lower(F.col(col))
     return p.contains("test") | p.contains("spec") | p.contains("__tests__")
@@ -24,10 +30,12 @@ def trace(edges: DataFrame, roots: DataFrame, depth: int = 3, direction: str = "
 
     ``direction`` is outbound, inbound or both; with both, what inbound reached is not reached again outbound.
     ``allowed`` (id) names the nodes that may be entered; others are neither given nor passed. A round is one join of
-    the frontier, made distinct, with the edges; visited nodes are removed by an anti-join. Frontiers are written out
-    each round, so lineage stays short.
+    the frontier, made distinct, with the edges; visited nodes are removed by an anti-join. Edges are written out once,
+    sorted by either end, and frontiers each round, so no round computes an edge again and lineage stays short; a small
+    frontier is broadcast by its size.
     """
     used = edges if types is None else edges.where(F.col("type").isin(*types))
+    used = cut(used.select("source_id", "target_id"), "steps")
     visited = roots.select("id").distinct()
     found: DataFrame | None = None
     for way in ("inbound", "outbound") if direction == "both" else (direction,):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from siftlode.plans import changes, chunks, graphs, retrieval, syncing
+from siftlode.plans import catalog, changes, chunks, graphs, retrieval, syncing
 
 FLAGSHIP = "hybrid_rrf"
-_MODULES = (changes, retrieval, chunks, syncing, graphs)
+_MODULES = (changes, retrieval, chunks, syncing, graphs, catalog)
 
 
 def queries() -> dict:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from siftlode.functions.text import MARKED, UNMARKED
 from siftlode.operators import retrieval as r
-from siftlode.runtime import table
+from siftlode.operators.fulltext import FullTextIndex
+from siftlode.runtime import table, work_dir
 
 WORDS = "index search token graph"
 
@@ -31,17 +35,41 @@ def dense_topk_per_label(spark, d):
 
 
 def dense_threshold(spark, d):
-    return r.dense_topk(_vectors(spark, d), _query(spark, d), 50, "vec_id", "embedding", threshold=0.1)
+    """All vectors of a similarity of 0.1 or more."""
+    return r.dense_topk(_vectors(spark, d), _query(spark, d), None, "vec_id", "embedding", threshold=0.1)
 
 
 def dense_inverted_file(spark, d):
-    """The approximate index with all cells probed, so exact; one batch of placement and search."""
+    """The ten nearest of every vector whose id is divisible by 100, by an index of 16 cells of which 6 are probed."""
     v = _vectors(spark, d)
-    index = r.InvertedFile(cells=8).fit(v, "vec_id", "embedding")
-    return index.search(index.assign(v, "embedding"), _query(spark, d), 10, 8, "vec_id", "embedding")
+    index = r.InvertedFile(cells=16).fit(v, "vec_id", "embedding")
+    placed = index.store(v, f"{work_dir(spark)}/cells-{uuid.uuid4().hex}", "embedding")
+    return index.search_many(placed, v.where("vec_id % 100 = 0"), 10, 6, "vec_id", "embedding")
+
+
+_TERMS: dict[tuple[str, str], FullTextIndex] = {}
+
+
+def terms(spark, d):
+    """The stored index over the documents, built once an application and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TERMS:
+        path = f"{work_dir(spark)}/terms-{len(_TERMS)}"
+        _TERMS[key] = FullTextIndex(spark, path).build(table(spark, d, "documents").dropDuplicates(["doc_id"]), "doc_id", {"text": 1.0})
+    return _TERMS[key]
 
 
 def bm25_topk(spark, d):
+    return terms(spark, d).search(WORDS, 20).withColumnRenamed("id", "doc_id")
+
+
+def bm25_page(spark, d):
+    """The third page of twenty."""
+    return terms(spark, d).search(WORDS, 20, 40).withColumnRenamed("id", "doc_id")
+
+
+def bm25_scan(spark, d):
+    """The same without an index, by reading all texts."""
     return r.bm25_topk(table(spark, d, "documents"), WORDS, 20, "doc_id", "text")
 
 
@@ -55,7 +83,7 @@ def postings(spark, d):
 
 def _lists(spark, d):
     dense = r.dense_topk(_vectors(spark, d), _query(spark, d), 20, "vec_id", "embedding").withColumnRenamed("vec_id", "id")
-    sparse = r.bm25_topk(table(spark, d, "documents"), WORDS, 20, "doc_id", "text").withColumnRenamed("doc_id", "id")
+    sparse = terms(spark, d).search(WORDS, 20)
     return dense, sparse
 
 
@@ -82,7 +110,7 @@ def overlap_dedup_any(spark, d):
     return r.drop_overlaps(_ranked_chunks(spark, d), None).select("id", "file", "start_line", "end_line")
 
 
-_ALL = (dense_topk, dense_topk_filtered, dense_topk_per_label, dense_threshold, dense_inverted_file, bm25_topk, bm25_weighted_fields, postings, hybrid_rrf, hybrid_weighted, overlap_dedup_half, overlap_dedup_any)
+_ALL = (dense_topk, dense_topk_filtered, dense_topk_per_label, dense_threshold, dense_inverted_file, bm25_topk, bm25_page, bm25_scan, bm25_weighted_fields, postings, hybrid_rrf, hybrid_weighted, overlap_dedup_half, overlap_dedup_any)
 
 
 def queries() -> dict:
@@ -94,8 +122,13 @@ with q as (select embedding::double[] as v from embeddings where vec_id = 0),
 s as (select vec_id, label, round(list_cosine_similarity(embedding::double[], q.v), 6) as score from embeddings, q)"""
 
 
-def _bm25(table_name: str, key: str, fields: dict[str, float], words: str, k: int) -> str:
-    tok = ", ".join(f"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^a-z0-9]+'), lambda t: t <> '') as t{i}" for i, c in enumerate(fields))
+def tokens_sql(column: str) -> str:
+    """The words of a column: letters and digits of any script, in lower case, Latin letters without marks."""
+    return f"list_filter(regexp_split_to_array(regexp_replace(translate(lower(coalesce({column}, '')), '{MARKED}', '{UNMARKED}'), '[\\x{{0300}}-\\x{{036F}}]', '', 'g'), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+
+
+def bm25_sql(table_name: str, key: str, fields: dict[str, float], words: str, k: int, offset: int = 0) -> str:
+    tok = ", ".join(f"{tokens_sql(c)} as t{i}" for i, c in enumerate(fields))
     dl = " + ".join(f"len(t{i}) * {w}" for i, w in enumerate(fields.values()))
     terms = sorted(set(words.split()))
     tf = lambda t: " + ".join(f"len(list_filter(t{i}, lambda x: x = '{t}')) * {w}" for i, w in enumerate(fields.values()))
@@ -107,10 +140,24 @@ t as (select {key} as id, {tok} from {table_name}),
 r as (select id, ({dl})::double as dl, {cols} from t), w as (select * from r where dl > 0),
 st as (select count(*) as n, avg(dl) as avgdl, {dfs} from w),
 b as (select id, round({score}, 6) as score from w, st),
-bm as (select * from b where score > 0 order by score desc, id limit {k})"""
+bm as (select * from b where score > 0 order by score desc, id limit {k} offset {offset})"""
+
+
+def _greedy(hides: str) -> str:
+    """Chunks of each file in order of rank, each kept unless ``hides`` holds for it (x) and a kept one (y)."""
+    return f"""
+with recursive v as (select distinct concat_ws('|', project, relative_path) as file, vec_id as id, start_line as s, end_line as e from vector_documents where start_line > 0 and end_line >= start_line),
+u as (select * from v union all select file, id + 1000000000, s + 3, e + 3 from v),
+f as (select file, list({{'id': id, 's': s, 'e': e}} order by id) as hits from u group by 1),
+g(file, hits, i, kept) as (
+  select file, hits, 0::bigint, [{{'id': 0::bigint, 's': 0::bigint, 'e': 0::bigint}}][1:0] from f
+  union all
+  select file, hits, i + 1, case when len(list_filter(kept, lambda y: {hides.replace("x.", "hits[i + 1].")})) > 0 then kept else list_append(kept, hits[i + 1]) end from g where i < len(hits)),
+k as (select file, unnest(kept) as h from g where i = len(hits))
+select h.id as id, file, h.s as start_line, h.e as end_line from k"""
 
 
-_DOC_BM = _bm25("documents", "doc_id", {"text": 1.0}, WORDS, 20)
+_DOC_BM = bm25_sql("documents", "doc_id", {"text": 1.0}, WORDS, 20)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -121,11 +168,14 @@ def oracle_sql() -> dict[str, str]:
         "dense_topk": _COS + top.format("", 10),
         "dense_topk_filtered": _COS + top.format("where label in (1, 2, 3)", 10),
         "dense_topk_per_label": _COS + "select label, vec_id, score, rank from (select *, row_number() over (partition by label order by score desc, vec_id) as rank from s) where rank <= 3",
-        "dense_threshold": _COS + top.format("where score >= 0.1", 50),
-        "dense_inverted_file": _COS + top.format("", 10),
+        "dense_threshold": _COS + "select vec_id, score from s where score >= 0.1",
         "bm25_topk": "with " + _DOC_BM + " select id as doc_id, score from bm",
-        "bm25_weighted_fields": "with " + _bm25("part", "p_partkey", {"p_name": 1.0, "p_brand": 2.0, "p_type": 0.5}, "steel brand widget large small", 20) + " select id as p_partkey, score from bm",
-        "postings": "with t as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) as term from documents) select term, count(distinct doc_id) as df, count(*) as cf from t group by term",
+        "bm25_scan": "with " + _DOC_BM + " select id as doc_id, score from bm",
+        "bm25_page": "with " + bm25_sql("documents", "doc_id", {"text": 1.0}, WORDS, 20, 40) + " select id as doc_id, score from bm",
+        "bm25_weighted_fields": "with " + bm25_sql("part", "p_partkey", {"p_name": 1.0, "p_brand": 2.0, "p_type": 0.5}, "steel brand widget large small", 20) + " select id as p_partkey, score from bm",
+        "postings": f"with t as (select doc_id, unnest({tokens_sql('text')}) as term from documents) select term, count(distinct doc_id) as df, count(*) as cf from t group by term",
+        "overlap_dedup_half": _greedy("(greatest(0, least(x.e, y.e) - greatest(x.s, y.s) + 1) / greatest(1, x.e - x.s + 1)) > 0.5"),
+        "overlap_dedup_any": _greedy("y.s <= x.e and y.e >= x.s"),
         "hybrid_rrf": lists + ranks + "select id, round(coalesce(1.0::double / (100 + dense_rank), 0) + coalesce(1.0::double / (100 + sparse_rank), 0), 9) as score, dense_rank, sparse_rank from d full join p using (id) order by score desc, id limit 10",
         "hybrid_weighted": lists + "select id, round(0.5 * coalesce(dn.score / (select max(score) from dn), 0) + 0.5 * coalesce(bm.score / (select max(score) from bm), 0), 6) as score from dn full join bm using (id) order by score desc, id limit 10",
     }

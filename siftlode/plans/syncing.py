@@ -10,11 +10,15 @@ from siftlode.streaming import jobs
 
 
 def _states(spark, d):
-    """Two states of the corpus: some documents leave, some come, some change."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
-    old = docs.where("path % 7 <> 0")
-    new = docs.where("path % 11 <> 0").select("path", F.when(F.col("path") % 5 == 0, F.concat("hash", F.lit("x"))).otherwise(F.col("hash")).alias("hash"))
-    return old, new
+    """Two states of the scanned files: after the first half of what was recorded, and after all of it."""
+    f = table(spark, d, "file_states").where("project is not null and relative_path is not null").withColumn("path", F.concat_ws("|", "project", "relative_path"))
+    half = f.agg(F.max("state_id").alias("m")).first()["m"] or 0
+
+    def state(rows):
+        last = rows.groupBy("path").agg(F.max(F.struct("observed_at", "state_id", "content_hash")).alias("s"))
+        return last.select("path", F.col("s.content_hash").alias("hash")).where("hash is not null")
+
+    return state(f.where(F.col("state_id") * 2 <= half)), state(f)
 
 
 def content_hash(spark, d):
@@ -31,16 +35,15 @@ def file_except(spark, d):
 
 
 def root_digest(spark, d):
-    """Whether two states of the corpus have the same digest as themselves and differ from each other."""
+    """The digests of both states, the first one spread in another way."""
     old, new = _states(spark, d)
-    a, b, c = (sync.root_digest(x).withColumnRenamed("digest", n) for x, n in ((old, "a"), (old.repartition(3), "b"), (new, "c")))
-    return a.crossJoin(b).crossJoin(c).select((F.col("a") == F.col("b")).alias("same"), (F.col("a") != F.col("c")).alias("differs"))
+    return sync.root_digest(old.repartition(3)).select(F.lit("old").alias("state"), "digest").unionByName(sync.root_digest(new).select(F.lit("new").alias("state"), "digest"))
 
 
 def apply_changes(spark, d):
     old, new = _states(spark, d)
-    chunks = old.select("path", F.concat(F.lit("old"), F.col("path").cast("string")).alias("content"))
-    fresh = new.select("path", F.concat(F.lit("new"), F.col("path").cast("string")).alias("content"))
+    chunks = old.select("path", F.concat(F.lit("old"), F.col("path")).alias("content"))
+    fresh = new.select("path", F.concat(F.lit("new"), F.col("path")).alias("content"))
     return sync.apply_changes(chunks, sync.file_diff(old, new), fresh)
 
 
@@ -110,23 +113,23 @@ def queries() -> dict:
     return {f.__name__: f for f in _ALL}
 
 
-_TWO = """
-with d as (select doc_id as path, sha256(coalesce(text, '')) as hash from documents),
-o as (select * from d where path % 7 <> 0),
-n as (select path, case when path % 5 = 0 then hash || 'x' else hash end as hash from d where path % 11 <> 0),
-f as (select path, case when o.path is null then 'added' when n.path is null then 'removed' when o.hash <> n.hash then 'modified' end as change from (select path, path as p, hash from o) o full join (select path, path as p, hash from n) n using (path)),
+_STATE = "select path, arg_max(coalesce(content_hash, ''), (observed_at, state_id)) as hash from f {} group by 1 having hash <> ''"
+_TWO = f"""
+with f as (select *, concat_ws('|', project, relative_path) as path from file_states where project is not null and relative_path is not null),
+o as ({_STATE.format("where state_id * 2 <= (select max(state_id) from f)")}), n as ({_STATE.format("")}),
 g as (select coalesce(o.path, n.path) as path, case when o.path is null then 'added' when n.path is null then 'removed' when o.hash <> n.hash then 'modified' end as change from o full join n on o.path = n.path)"""
 _TUMBLING = "select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all"
 
 
 def oracle_sql() -> dict[str, str]:
-    two = _TWO[: _TWO.index("f as (")] + _TWO[_TWO.index("g as (") :]
+    two = _TWO + " "
+    digest = "select '{0}' as state, sha256('root:' || count(*) || ':' || " + " || ':' || ".join(f"sum(('0x' || substr(hash, {1 + 8 * k}, 8))::ubigint)::hugeint" for k in range(8)) + ") as digest from {1}"
     return {
         "content_hash": "select doc_id, sha256(text) as hash from documents where text is not null",
         "file_diff": two + "select path, change from g where change is not null",
-        "file_except": two + "select * from n where path not in (select path from o)",
-        "root_digest": "select true as same, true as differs",
-        "apply_changes": two + "select path, 'old' || path as content from o where path not in (select path from g where change is not null) union all select path, 'new' || path from n where path in (select path from g where change in ('added', 'modified'))",
+        "file_except": two + "select * from n anti join o using (path)",
+        "root_digest": two + digest.format("old", "o") + " union all " + digest.format("new", "n"),
+        "apply_changes": two + "select path, 'old' || path as content from o anti join (select path from g where change is not null) using (path) union all select path, 'new' || path from n semi join (select path from g where change in ('added', 'modified')) using (path)",
         "status_latest": "select identity, case when status = 'indexing' then 'indexfailed' else status end as status, last_updated, case when status = 'indexing' then indexing_percentage else last_attempted_percentage end as last_attempted_percentage from (select *, row_number() over (partition by identity order by last_updated desc, status, local_path, indexing_percentage) as r from codebases where identity is not null) where r = 1",
         "snapshot_options": "select identity, last_updated, status, nullif(last_value(request_splitter ignore nulls) over (partition by identity order by last_updated, status rows unbounded preceding), '') as request_splitter from (select distinct identity, last_updated, status, request_splitter from codebases)",
         "snapshot_merge": "select distinct identity from codebases where length(identity) % 2 = 0 or length(identity) % 3 <> 0",

@@ -24,7 +24,10 @@ class CollectionCatalog:
     def _hadoop(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
 
-    def create(self, name: str) -> None:
+    def create(self, name: str, hybrid: bool = False) -> None:
+        """Make an empty collection, of vectors or of vectors and words (see ``FullTextIndex``)."""
+        if hybrid:
+            self._fs.create(self._hadoop(f"_{name}.hybrid"), True).close()
         if not self.has(name):
             self.spark.createDataFrame([], SCHEMA).write.mode("overwrite").partitionBy("project").parquet(self._path(name))
 
@@ -32,13 +35,14 @@ class CollectionCatalog:
         return self._fs.exists(self._hadoop(name))
 
     def drop(self, name: str) -> bool:
+        self._fs.delete(self._hadoop(f"_{name}.hybrid"), False)
         return self._fs.delete(self._hadoop(name), True)
 
     def list(self, prefix: str = "") -> list[str]:
         root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         if not self._fs.exists(root):
             return []
-        return sorted(n for s in self._fs.listStatus(root) if (n := s.getPath().getName()).startswith(prefix))
+        return sorted(n for s in self._fs.listStatus(root) if (n := s.getPath().getName()).startswith(prefix) and not n.startswith("_"))
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(self._path(name))
@@ -69,6 +73,23 @@ class CollectionCatalog:
         cols = [c.split()[0] for c in SCHEMA.split(", ")]
         rows.select(*cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(self._path(name))
 
+    def put(self, name: str, project: str, rows: DataFrame) -> None:
+        """Put ``rows``, all of one project, in the place of its rows; no rows leave none."""
+        if rows.isEmpty():
+            self._fs.delete(self._hadoop(f"{name}/{self._folder(project)}"), True)
+        else:
+            self.replace(name, rows)
+
+    def _folder(self, project: str) -> str:
+        return f"project={self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(project)}"
+
+    def describe(self, name: str) -> dict:
+        """The columns, the number of rows and the kind of a collection."""
+        return {"name": name, "columns": [f.name for f in self.read(name).schema.fields], "rows": self.count(name), "kind": self.kind(name)}
+
+    def kind(self, name: str) -> str:
+        return "hybrid" if self._fs.exists(self._hadoop(f"_{name}.hybrid")) else "dense"
+
     def delete(self, name: str, ids: DataFrame) -> None:
         """Remove rows by (project, id); only the partitions of those projects are written again."""
         from siftlode.runtime import cut
@@ -79,7 +100,7 @@ class CollectionCatalog:
         emptied = projects.join(kept.select("project").distinct(), "project", "left_anti").collect()  # partitions left without rows
         self.replace(name, kept)
         for r in emptied:
-            self._fs.delete(self._hadoop(f"{name}/project={self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(r['project'])}"), True)
+            self._fs.delete(self._hadoop(f"{name}/{self._folder(r['project'])}"), True)
 
 
 def document_rows(chunks: DataFrame, project: str) -> DataFrame:

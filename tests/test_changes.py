@@ -79,6 +79,25 @@ def test_feed_survives_failures_and_late_rows(spark, tmp_path):
     assert seen == []
 
 
+def test_feed_keeps_rows_that_turn_up_late(spark, tmp_path):
+    schema, seen = "k string, v int, pos long", []
+    take = lambda df: seen.extend((r.k, r.v) for r in df.collect())
+    first = [("a", 1, 10)]
+    feed = ChangeFeed(spark, f"file://{tmp_path}/feed", ["k"], ["v"], "pos")
+    feed.run(spark.createDataFrame(first, schema), take)
+    feed.run(spark.createDataFrame([*first, ("late", 1, 5)], schema), take)  # nothing is known of open transactions
+    assert seen == [("a", 1), ("late", 1)]
+    feed.run(spark.createDataFrame([*first, ("late", 1, 5), ("b", 1, 20)], schema), take, open_since=15)
+    seen.clear()
+    feed.run(spark.createDataFrame([("a", 1, 10), ("a", 1, 40), ("c", 1, 16)], schema), take, open_since=41)  # a pair again, at a later position
+    assert seen == [("c", 1)]
+    assert [c["low_water"] for c in feed.commits()] == [None, None, "15", "41"]
+    lean = ChangeFeed(spark, f"file://{tmp_path}/feed", ["k"], ["v"], "pos", redelivered=False)
+    low = lean._low(lean.commits(), spark.createDataFrame(first, schema))
+    assert lean._ledger(lean.commits(), spark.createDataFrame(first, schema), low).count() == 0
+    assert lean.pending(spark.createDataFrame([("d", 1, 50), ("c", 1, 16)], schema)).collect()[0].k == "d"
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.dictionaries(st.integers(0, 9), st.sampled_from("ab"), max_size=8), st.dictionaries(st.integers(0, 9), st.sampled_from("ab"), max_size=8))
 def test_applying_a_diff_gives_the_new_state(spark, old, new):

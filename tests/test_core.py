@@ -155,6 +155,48 @@ def test_extraction_routes_and_resources(spark):
     assert '"crossFile":true' in pairs["p.src.handler.handleLogin", "p.src.auth.validateUser"]
     assert ("p.m.MyClass.greet", "p.m.hello") in pairs and ("p.src.auth.validateUser", "p.src.auth.hashPassword") in pairs
     assert [(r.label, r.name, r.detail) for r in facts.where("kind = 'route'").collect()] == [("GET", "/users/:param", "handleLogin")]
+    every, links = extract.graph_rows(facts)
+    named = {r.id: (r.label, r.name) for r in every.collect()}
+    kinds = {(r.type, named[r.source_id], named[r.target_id]) for r in links.collect()}
+    assert ("HANDLES", ("Route", "GET /users/:param"), ("Function", "handleLogin")) in kinds
+    assert ("IMPORTS", ("Function", "handleLogin"), ("Module", "./auth")) in kinds
+
+
+def test_calls_stay_in_their_project(spark):
+    files = [("a", "m.py", "def run():\n    return helper()\n"), ("b", "h.py", "def helper():\n    return 1\n"), ("b", "m.py", "def run():\n    return helper()\n")]
+    files += [(f"x{k}", "h.py", "def helper():\n    return 1\n") for k in range(300)]  # one each, so no name is crowded
+    facts = extract.file_facts(spark.createDataFrame(files, "project string, path string, content string"))
+    nodes, registry, calls = extract.graph_of(facts)
+    edges = extract.call_edges(calls, resolve.resolve_calls(calls, registry), nodes)
+    assert [r.project for r in edges.collect()] == ["b"]
+
+
+def test_resources(spark):
+    docker = "FROM base:1\nENV A=1\n\nEXPOSE 80\n"
+    manifest = "kind: Service\nmetadata:\n  name: web\n---\nkind: Job\nmetadata:\n  name: web\n"
+    rows = [("p", "svc/Dockerfile", docker), ("q", "svc/Dockerfile", docker), ("p", "k8s/a.yaml", manifest), ("p", "a.py", "x = 1"), ("p", "b.yml", None)]
+    nodes, edges = extract.resource_rows(spark.createDataFrame(rows, "project string, path string, content string"))
+    names = {r.id: (r.project, r.name) for r in nodes.collect()}
+    assert sorted(n for p, n in names.values() if p == "p") == ["ENV A=1", "EXPOSE 80", "FROM base:1", "Job/web", "Service/web"]
+    assert {(names[r.source_id], names[r.target_id]) for r in edges.where("project = 'p'").collect()} == {(("p", "FROM base:1"), ("p", "ENV A=1")), (("p", "ENV A=1"), ("p", "EXPOSE 80"))}
+    assert '"baseImage":"base"' in nodes.where("name = 'FROM base:1'").first().properties
+
+
+def test_code_search_uses_each_node_once(spark):
+    files = spark.createDataFrame([("d/f.py", "a hit\nb hit\nc\nd HIT\n"), ("d/g.py", None), ("d/h.py", "")], "path string, content string")
+    nodes = spark.createDataFrame([(7, "outer", "Function", "d/f.py", 1, 3)], "id long, name string, label string, file_path string, start_line int, end_line int")
+    rows, totals = search.search_code(files, nodes, "hit")
+    assert [(r.line, r.node_id, r.name, r.label) for r in rows.collect()] == [(1, "7", "outer", "Function"), (4, "-1", "f.py", "File")]
+    assert totals == {"matches": 3, "results": 2}
+    assert search.search_code(files, nodes, "HIT$", regex=True)[1] == {"matches": 1, "results": 1}
+
+
+def test_impacted_paths_and_routes(spark):
+    n = spark.createDataFrame([(1, "/root/src/a.py"), (2, "src/a.py"), (3, "xsrc/a.py"), (4, "b.py")], "id int, file_path string")
+    changed = spark.createDataFrame([("src/a.py",), ("SRC/A.py",)], "file_path string")
+    assert {r.id for r in search.impacted(n, changed).collect()} == {1, 2}
+    routes = spark.createDataFrame([("p", "Route", f"GET /{k}") for k in range(7)] + [("p", "Class", "A")], "project string, label string, name string")
+    assert [tuple(r) for r in search.route_summary(routes, 2).collect()] == [("p", 7, "GET /0; GET /1")]
 
 
 def test_properties_search_and_tables(spark):
