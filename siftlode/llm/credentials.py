@@ -12,7 +12,8 @@ Plan: one map over the texts gives short rows of hashes and values. They are gro
 value in a third of all texts is folded before the shuffle). Every confirmed value has a seed, its rarest run of
 ``SEED`` bytes; a bit table of the seeds' hashes, of at most 8 MB at any size (``bittable``), is broadcast, and a
 second map tests every position of every text against it. A text that holds a value holds its seed, so none is lost;
-the seeds met, short rows, are joined to the values, and only texts with a hit are fetched for the automaton. No list
+the texts that hold one are put aside with the seeds met, and only these go on: seeds are joined to the values, and
+the values to their texts, for the automaton. No list
 of secrets is collected or broadcast, and no text is passed more than twice. A text's key is its id and its hash, so
 different texts under one id stay apart. Patterns are tried only where an automaton over their first words stops.
 """
@@ -190,22 +191,23 @@ def literals(text: str) -> list[tuple[int, int, str, str, str]]:
     return [(a, b, *x) for (a, b), x in sorted(found.items())]
 
 
-_FOUND = "id long, version long, owner string, code long, value string, place string, prefix string"
+_FOUND = "id long, version long, owner string, code long, value string, place string, prefix string, whole string"
 
 
 def _index(batches):
     for batch in batches:
-        rows, code, value, place, prefix = [], [], [], [], []
+        rows, code, value, place, prefix, whole = [], [], [], [], [], []
         for i, text in enumerate(batch.column(3).to_pylist()):
-            for _, _, v, p, pre in literals(text):
+            for a, b, v, p, pre in literals(text):
                 rows.append(i)
                 code.append(_hash(v))
                 value.append(None if p == "loose" else v)
                 place.append(p)
                 prefix.append(pre)
+                whole.append(None if text[a:b] == v else text)  # a sum of parts stands nowhere as one run
         at = pa.array(rows, pa.int64())
-        cols = [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(code, pa.int64()), pa.array(value, pa.string()), pa.array(place, pa.string()), pa.array(prefix, pa.string())]
-        yield pa.RecordBatch.from_arrays(cols, ["id", "version", "owner", "code", "value", "place", "prefix"])
+        cols = [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(code, pa.int64()), pa.array(value, pa.string()), pa.array(place, pa.string()), pa.array(prefix, pa.string()), pa.array(whole, pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, ["id", "version", "owner", "code", "value", "place", "prefix", "whole"])
 
 
 def confirmed(found: DataFrame, max_owners: int, max_share: float, min_prefix: int) -> DataFrame:
@@ -255,7 +257,7 @@ def _seeds(secret: DataFrame) -> DataFrame:
 
 
 def _meet(shared, bits: int):
-    """(id, version, seed): runs of each text that are in the bit table."""
+    """(id, version, text, seeds): the texts that hold runs of the bit table, with these runs."""
 
     def go(batches):
         for batch in batches:
@@ -265,19 +267,22 @@ def _meet(shared, bits: int):
                 where = bittable.members(shared.value, runs, bits)
                 row = np.searchsorted(off, where, "right") - 1
                 inside = where + SEED <= off[row + 1]
-                row, seed = row[inside], runs[where[inside]].view(np.int64)
-                rows = pa.array(at + row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(seed, pa.int64())], ["id", "version", "seed"])
+                pair = np.unique(np.stack([row[inside], runs[where[inside]].view(np.int64)]), axis=1) if inside.any() else np.empty((2, 0), np.int64)
+                own, first = np.unique(pair[0], return_index=True)
+                rows = pa.array(own + at)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, pair.shape[1]), pa.int32()), pa.array(pair[1]))
+                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[:3]), lists], ["id", "version", "text", "seeds"])
 
     return go
 
 
-def everywhere(base: DataFrame, secret: DataFrame) -> DataFrame:
-    """(id, version, value): each text with the values whose seed it holds; among them are all values that it holds."""
+def everywhere(base: DataFrame, secret: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, version, value): each text with the values whose seed it holds, among them all that it holds; and these texts."""
     seeds = cut(_seeds(secret), "seeds")
     bits = bittable.bits_for(seeds.count())
     shared = base.sparkSession.sparkContext.broadcast(bittable.build(seeds, "seed", bits))
-    return spread(base.select("id", "version", "text")).mapInArrow(_meet(shared, bits), "id long, version long, seed long").distinct().join(seeds, "seed").select("id", "version", "value")
+    met = cut(spread(base.select("id", "version", "text")).mapInArrow(_meet(shared, bits), "id long, version long, text string, seeds array<long>"), "met")
+    return met.select("id", "version", F.explode("seeds").alias("seed")).join(seeds, "seed").select("id", "version", "value"), met.select("id", "version", "text")
 
 
 def _spans(text: str, values: list[str]) -> list[tuple[int, int]]:
@@ -337,10 +342,11 @@ def _masked(docs: DataFrame, id_col: str, owner_col: str, text_col: str, max_own
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("version"), F.coalesce(F.col(owner_col), F.lit("")).alias("owner"), F.col(text_col).alias("text")).where("id is not null and text is not null and text <> ''")
     found = cut(spread(base).mapInArrow(_index, _FOUND), "literals")
     secret = cut(confirmed(found, max_owners, max_share, min_prefix), "confirmed")
-    read = found.select("id", "version", "code").distinct().join(secret, "code").select("id", "version", "value")  # a sum of parts stands nowhere as one run
-    held = read.unionByName(everywhere(base, secret)).groupBy("id", "version").agg(F.collect_set("value").alias("values"))
-    hits = cut(held, "secrets")
-    wanted = base.select("id", "version", "text").join(hits, ["id", "version"]).select("id", "version", "text", "values")
+    read = found.select("id", "version", "code").distinct().join(secret, "code").select("id", "version", "value")
+    held, texts = everywhere(base, secret)
+    texts = texts.unionByName(found.where("whole is not null").select("id", "version", F.col("whole").alias("text")))
+    hits = cut(read.unionByName(held).groupBy("id", "version").agg(F.collect_set("value").alias("values")), "secrets")
+    wanted = texts.join(hits, ["id", "version"]).select("id", "version", "text", "values")
     return wanted.mapInArrow(_scan, "id long, version long, lines array<long>, masked string")
 
 

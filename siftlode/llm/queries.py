@@ -123,6 +123,16 @@ s as (select distinct vec_id, lower(w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])
 n as (select vec_id, count(*) as n from s group by 1),
 p as (select a.vec_id as vec_id_a, b.vec_id as vec_id_b, count(*) as c from s a join s b on a.g = b.g and a.vec_id < b.vec_id group by 1, 2)
 select vec_id_a, vec_id_b from p join n x on x.vec_id = vec_id_a join n y on y.vec_id = vec_id_b where c >= 0.6 * (x.n + y.n - c)""",
+        "p2_classes": """
+with v as (select distinct vec_id, regexp_extract_all(content, '[A-Za-z0-9_]+') as w from vector_documents where content is not null),
+s as (select distinct vec_id, lower(w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]) as g from (select vec_id, w, unnest(range(1, len(w) - 1)) as k from v where len(w) >= 20)),
+k as (select vec_id, count(*) as n, md5(array_to_string(list_sort(list(g)), chr(10))) as key from s group by 1),
+c as (select vec_id, n, min(vec_id) over (partition by key) as class_id from k),
+t as (select s.* from s join c on c.vec_id = s.vec_id and c.vec_id = c.class_id),
+p as (select a.vec_id as a, b.vec_id as b, count(*) as c from t a join t b on a.g = b.g and a.vec_id < b.vec_id group by 1, 2),
+l as (select p.* from p join c x on x.vec_id = a join c y on y.vec_id = b where p.c >= 0.6 * (x.n + y.n - p.c)),
+e as (select class_id, count(*) as links from (select a as class_id from l union all select b from l) group by 1)
+select vec_id, class_id, coalesce(links, 0) as links from c left join e using (class_id)""",
         "p7_joined": "select distinct chunk_id, content, true as within from code_chunks where content is not null",
         "p8_text": "select distinct doc_id, coalesce(text, '') as text from documents",
         "p9_found": """
