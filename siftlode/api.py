@@ -87,11 +87,13 @@ class Engine:
             fresh = kept.withColumnRenamed("relative_path", "path").select(*old.columns)
             merged = cut(sync.apply_changes(old, changes, fresh).withColumnRenamed("path", "relative_path"), "merged")
             self.catalog.put(name, project, merged)
+        self.statuses.progress(project, 1, 3)
         docs = self.catalog.read(name).where(F.col("project") == project)
         self._terms(name).build(docs, "id", {"content": 1.0})
         if self.cells:
             self._cells[name] = retrieval.InvertedFile(self.cells).fit(docs, "id", "vector")
             self._cells[name].store(docs.select("id", "vector"), f"{self.home}/cells/{name}", "vector")
+        self.statuses.progress(project, 2, 3)
         self.graph.update(found.withColumn("project", F.lit(project)), None if changes is None else changes, project)
         self._states(name).write(files.file_states(found).join(left, "path", "left_anti"))
         outcome = "limit_reached" if not left.isEmpty() else "completed"

@@ -72,6 +72,7 @@ class StatusStore:
 
     def __init__(self, files: Files, name: str = "status.json"):
         self.files, self.name, self.removed = files, name, set()
+        self._saving = Throttle(2.0)
         self.entries: dict[str, dict] = {}
         for identity, info in self._stored().items():
             if info["status"] == "indexing":
@@ -95,6 +96,15 @@ class StatusStore:
     def indexing(self, identity: str, path: str, percentage: float = 0, options: dict | None = None) -> None:
         self._put(identity, {"status": "indexing", "local_path": path, "indexing_percentage": percentage}, options)
 
+    def progress(self, identity: str, done: int, total: int) -> float:
+        """Note how far a run is: 10 when it begins to work, 100 at its end; written at most every two seconds."""
+        percentage = round(10 + done / max(1, total) * 90)
+        if self.status(identity) == "indexing":
+            self.entries[identity]["indexing_percentage"] = percentage
+            if self._saving.ready():
+                self.save()
+        return percentage
+
     def indexed(self, identity: str, path: str, files: int, chunks: int, outcome: str = "completed", options: dict | None = None) -> bool:
         """False, and nothing written, for a complete run of nothing."""
         if files == 0 and chunks == 0 and outcome == "completed":

@@ -11,7 +11,7 @@ sys.path.insert(0, ROOT)
 def spark():
     from siftlode.runtime import session, ship
 
-    s = session("tests", "4", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+    s = session("tests", "4", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.sql.codegen.wholeStage": "false"})
     s.sparkContext.setLogLevel("OFF")
     ship(s)
     yield s

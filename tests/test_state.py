@@ -20,6 +20,7 @@ def test_status_machine(files):
     options = {"request_splitter": "definitions", "request_custom_extensions": [".x"], "request_ignore_patterns": ["*.y"]}
     s.indexing("a", "/a", 0, options)
     s.indexing("a", "/a", 42)
+    assert [s.progress("a", k, 3) for k in (0, 1, 3)] == [10, 40, 100] and s.get("a")["indexing_percentage"] == 100
     assert s.indexed("a", "/a", 3, 5) and s.get("a")["request_custom_extensions"] == [".x"]
     s.failed("a", "/a", "broken", 55)
     assert s.status("a") == "indexfailed" and s.get("a")["request_splitter"] == "definitions" and s.get("a")["last_attempted_percentage"] == 55
