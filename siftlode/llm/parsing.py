@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from siftlode.llm.syntax.lexers import ALIASES
 from siftlode.runtime import spread
 
+_ELEMENT = re.compile(r"/>|</")
 _CONFLICT = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?: |\r?$)", re.M)
 
 
@@ -31,7 +32,8 @@ def check(text: str, lang: str) -> tuple[bool, int, int, str | None]:
     """(valid, line, column, cause) of one text; line and column of the furthest failure, from 1, are 0 if it is valid.
 
     Empty and comment-only texts are valid. A text that nests deeper than the parser can follow (millions of calls) is
-    not valid, with the cause ``too deep``, at the furthest token that was read.
+    not valid, with the cause ``too deep``, at the furthest token that was read. A script that is not valid is read again
+    with elements of markup, as in its JSX form; it is valid if it is so either way.
     """
     from siftlode.llm.syntax.grammars import grammar
     from siftlode.llm.syntax.lexers import lex
@@ -45,6 +47,12 @@ def check(text: str, lang: str) -> tuple[bool, int, int, str | None]:
         at = grammar(lang).parse(tokens)
     except TooDeep as e:
         at, deep = max(e.at, 0), True
+    if at >= 0 and not deep and lang in ("javascript", "typescript") and _ELEMENT.search(text):
+        try:
+            if grammar(lang).parse(lex(text, lang, True)) < 0:
+                return True, 0, 0, None
+        except TooDeep:
+            pass
     if at < 0:
         return True, 0, 0, None
     start = tokens.starts[at]

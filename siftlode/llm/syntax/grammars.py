@@ -57,7 +57,9 @@ postfix <- primary suffix*
 suffix <- '.' ident / '?.' (args / '[' expr ']' / ident) / '[' expr ']' / args / typeargs args / template / tsbang
 args <- '(' (arg (',' arg)* ','?)? ')'
 arg <- '...' assign / assign
-primary <- 'new' newexpr / 'import' (args / '.' NAME) / 'super' / 'this' / 'null' / 'true' / 'false' / funcexpr / decorators? classdecl / NUM / STR / template / array / object / '(' expr ')' / NAME
+primary <- element / 'new' newexpr / 'import' (args / '.' NAME) / 'super' / 'this' / 'null' / 'true' / 'false' / funcexpr / decorators? classdecl / NUM / STR / template / array / object / '(' expr ')' / NAME
+element <- JB (JN ('=' (STR / braced / element))? / braced)* (JS / JO (element / braced)* JC)
+braced <- '{<' ('...' assign / expr)? '>}'
 newexpr <- '.' NAME / (primary newsuffix*) typeargs? args?
 newsuffix <- '.' ident / '[' expr ']'
 funcexpr <- ('async' !^NL)? 'function' '*'? NAME? signature block

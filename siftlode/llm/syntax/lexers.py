@@ -166,9 +166,20 @@ def _plain(text: str, lang: str) -> Lexed:
 _GO_ENDS = frozenset("break continue fallthrough return ++ -- ) ] }".split())
 
 
-def _script(text: str) -> Lexed:
-    out, words = Lexed(), RESERVED["javascript"]
-    pos, n, line = 0, len(text), False
+def _script(text: str, markup: bool = False) -> Lexed:
+    """Tokens of a script; with ``markup`` a ``<`` where a value may begin opens an element (see ``_element``)."""
+    out = Lexed()
+    pos = _script_run(text, 0, out, markup, False)
+    while pos < len(text):  # behind a brace that nothing opens
+        pos = _script_run(text, pos, out, markup, False)
+    n = len(text)
+    out.add(EOF, "", n, n, True)
+    return out
+
+
+def _script_run(text: str, pos: int, out: Lexed, markup: bool, inside: bool) -> int:
+    """Read tokens up to the end, or with ``inside`` up to the brace that closes what the caller opened."""
+    words, n, line = RESERVED["javascript"], len(text), False
     braces: list[bool] = []  # of each open brace, whether it belongs to a template
     while pos < n:
         m = _JS.match(text, pos)
@@ -192,20 +203,26 @@ def _script(text: str) -> Lexed:
         elif kind == "B":
             pos = _template(text, start + 1, out, start, line, braces, "TS")
         elif kind == "O":
-            if s[0] == "/":
+            if s[0] == "/" or markup and s[0] == "<":
                 k, t = (out.kinds[-1], out.texts[-1]) if out.kinds else (OP, "(")
-                value = k in (NAME, NUM, STR, "TE") or t in (")", "]", "}") or k == KW and t in ("this", "super", "null", "true", "false")
-                if text.startswith("/*", start):
+                value = k in (NAME, NUM, STR, "TE", "JS", "JC") or t in (")", "]", "}") or k == KW and t in ("this", "super", "null", "true", "false")
+                if s[0] == "<":
+                    if (not value or t in _JS_BEFORE_REGEX) and _TAG.match(text, start):
+                        pos, line = _element(text, start, out, line), False
+                        continue
+                elif text.startswith("/*", start):
                     pos = n
                     out.add(ERR, "/*", start, n, line)
                     continue
-                if (not value or t in _JS_BEFORE_REGEX) and (r := _JS_REGEX.match(text, start)):
+                elif (not value or t in _JS_BEFORE_REGEX) and (r := _JS_REGEX.match(text, start)):
                     pos = r.end()
                     out.add(STR, "", start, pos, line)
                     line = False
                     continue
             if s == "{":
                 braces.append(False)
+            elif s == "}" and inside and not braces:
+                return start
             elif s == "}" and braces and braces.pop():
                 out.add(OP, "}$", start, pos, line)
                 pos = _template(text, pos, out, pos, False, braces, None)
@@ -216,8 +233,68 @@ def _script(text: str) -> Lexed:
             pos = _after_error(text, start)
             out.add(ERR, "", start, pos, line)
         line = False
-    out.add(EOF, "", n, n, True)
-    return out
+    return n
+
+
+_TAG = re.compile(r"<\s*(?P<t>(?:[^\W\d]|\$)[\w$.:\-]*)?(?=[\s/>{])")
+_ATTRIBUTE = re.compile(r"(?P<W>\s+)|(?P<N>(?:[^\W\d]|\$)[\w$:\-]*)|(?P<Q>=)|(?P<S>\"[^\"]*\"|'[^']*')|(?P<B>\{)|(?P<E>/\s*>)|(?P<O>>)")
+_CLOSING = re.compile(r"<\s*/\s*(?P<t>[\w$.:\-]*)\s*>")
+_MARKUP_TEXT = re.compile(r"[^<{}>]*")
+
+
+def _element(text: str, pos: int, out: Lexed, line: bool) -> int:
+    """Read an element and all in it: JB its start, JN a name, JS or JO the end of its tag, JC its closing tag.
+
+    Elements nest on a list, not by calls; braces hold expressions, between ``{<`` and ``>}``. A closing tag of another
+    name, and a character that may not stand in text, is an error.
+    """
+    n, names, in_tag = len(text), [], False
+    while pos < n:
+        if in_tag:
+            m = _ATTRIBUTE.match(text, pos)
+            if not m:
+                out.add(ERR, "", pos, n, False)
+                return n
+            kind, start, pos = m.lastgroup, pos, m.end()
+            if kind == "B":
+                pos = _braced(text, start, out)
+            elif kind in "EO":
+                out.add("JS" if kind == "E" else "JO", "", start, pos, False)
+                in_tag = False
+                if kind == "E":
+                    names.pop()
+                    if not names:
+                        return pos
+            elif kind != "W":
+                out.add({"N": "JN", "S": STR, "Q": OP}[kind], "=" if kind == "Q" else "", start, pos, False)
+            continue
+        if m := _CLOSING.match(text, pos):
+            same = bool(names) and names.pop() == m["t"]
+            out.add("JC" if same else ERR, "", pos, m.end(), False)
+            pos = m.end()
+            if not same or not names:
+                return pos
+        elif m := _TAG.match(text, pos):
+            out.add("JB", "", pos, m.end(), line)
+            names.append(m["t"] or "")
+            pos, in_tag, line = m.end(), True, False
+        elif text[pos] == "{":
+            pos = _braced(text, pos, out)
+        elif text[pos] in "<>}":
+            out.add(ERR, "", pos, pos + 1, False)
+            return pos + 1
+        else:
+            pos = _MARKUP_TEXT.match(text, pos).end()
+    out.add(ERR, "", n, n, False)
+    return n
+
+
+def _braced(text: str, pos: int, out: Lexed) -> int:
+    out.add(OP, "{<", pos, pos + 1, False)
+    end = _script_run(text, pos + 1, out, True, True)
+    if end < len(text):
+        out.add(OP, ">}", end, end + 1, False)
+    return end + 1
 
 
 def _template(text: str, pos: int, out: Lexed, start: int, line: bool, braces: list[bool], opening: str | None) -> int:
@@ -282,10 +359,10 @@ def _python(text: str) -> Lexed:
     return out
 
 
-def lex(text: str, lang: str) -> Lexed:
-    """Tokens of a text in a language of ``ALIASES`` other than markdown."""
+def lex(text: str, lang: str, markup: bool = False) -> Lexed:
+    """Tokens of a text in a language of ``ALIASES`` other than markdown; of scripts also with elements, if ``markup``."""
     if lang == "python":
         return _python(text)
     if lang in ("javascript", "typescript"):
-        return _script(text)
+        return _script(text, markup)
     return _plain(text, lang)

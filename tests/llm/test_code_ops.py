@@ -56,6 +56,19 @@ def test_python_grammar_agrees_with_the_interpreter(text, at, put):
     assert parsing.check(changed, "python")[0] == ok or "yield" in changed or "f'" in changed
 
 
+ELEMENTS = [
+    ("const a = <div className=\"x\" on={() => { f({a: 1}) }} {...p}>It's {b ? <B/> : null} <>t</> {/* n */}</div>;\nexport default function F() { return (\n  <a.b c>\n text {x.map(y => <li key={y}>{y}</li>)}\n  </a.b>\n) }", True),
+    ("const a = <div><p></div></p>;", False), ("const a = <div>{b</div>;", False), ("const a = <div", False), ("const a = <A/> + ;", False), ("const a = <A>x</A>\nlet b = 1 < 2 && c > d", True), ("f(<A b=c/>)", False),
+]
+
+
+@pytest.mark.parametrize(("text", "valid"), ELEMENTS)
+@pytest.mark.parametrize("lang", ["javascript", "typescript"])
+def test_elements_of_markup(lang, text, valid):
+    assert parsing.check(text, lang)[0] is valid
+    assert parsing.check("const a = " + "<i>" * 3000 + "</i>" * (3000 if valid else 2999) + ";", lang)[0] is valid
+
+
 @pytest.mark.parametrize(("lang", "head", "tail"), [("python", "x = ", "\n"), ("javascript", "x = ", ""), ("java", "class A { int x = ", ";}")])
 def test_deep_nesting_is_parsed(lang, head, tail, monkeypatch):
     assert parsing.check(head + "(" * 20_000, lang)[0] is False
