@@ -26,8 +26,8 @@ def slots(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bits_for(n: int) -> int:
-    """The size, in bits of an index, for ``n`` codes: 64 bits a code while that fits."""
-    return min(MOST, max(PART, math.ceil(math.log2(64 * max(1, n)))))
+    """The size, in bits of an index, for ``n`` codes: 1,024 bits a code while that fits, so that one in 260,000 others passes."""
+    return min(MOST, max(PART, math.ceil(math.log2(1024 * max(1, n)))))
 
 
 def build(codes: DataFrame, column: str, bits: int) -> bytes:
