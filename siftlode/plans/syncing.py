@@ -55,21 +55,29 @@ def snapshot_options(spark, d):
     return sync.inherited_options(table(spark, d, "codebases").select("identity", "last_updated", "status", "request_splitter"))
 
 
+def _ever(c, where: str):
+    return c.where("identity is not null").where(where).select("identity").distinct()
+
+
 def snapshot_merge(spark, d):
-    c = table(spark, d, "codebases").select("identity").distinct()
-    n = F.length("identity")
-    return sync.merge_snapshots(c.where(n % 2 == 0), c, c.where(n % 3 == 0))
+    """Entries that were indexed, with those of the file that were not, unless a run of theirs failed."""
+    c = table(spark, d, "codebases")
+    return sync.merge_snapshots(_ever(c, "status = 'indexed'"), _ever(c, "true"), _ever(c, "status = 'indexfailed'"))
 
 
 def cloud_reconcile(spark, d):
-    c = table(spark, d, "codebases").select("identity").distinct()
-    return sync.reconcile(c, c.where(F.length("identity") % 4 != 0))
+    c = table(spark, d, "codebases")
+    return sync.reconcile(_ever(c, "true"), _ever(c, "index_status = 'completed'"))
 
 
 def heal_zero(spark, d):
-    c = table(spark, d, "codebases").where("index_status is not null").groupBy("identity").agg(F.max("total_chunks").alias("m")).select("identity", F.lit(0).alias("indexed_files"), F.lit(0).alias("total_chunks"), "m")
-    counts = c.where("m % 3 <> 0").select("identity", F.when(F.col("m") % 3 == 1, -1).otherwise(F.col("m")).alias("rows"))
-    return sync.heal_empty(c, counts)
+    """What to do with complete entries that say they hold nothing, by the stored chunks; those at a limit are unknown."""
+    c = table(spark, d, "codebases")
+    entries = _ever(c, "index_status is not null").select("identity", F.lit(0).alias("indexed_files"), F.lit(0).alias("total_chunks"))
+    stored = table(spark, d, "vector_documents").groupBy(F.col("project").alias("identity")).agg(F.countDistinct("vec_id").alias("rows"))
+    limited = _ever(c, "index_status = 'limit_reached'").select("identity", F.lit(True).alias("limited"))
+    counts = stored.join(limited, "identity", "full_outer").select("identity", F.when(F.col("limited"), -1).otherwise(F.col("rows")).alias("rows"))
+    return sync.heal_empty(entries, counts)
 
 
 def recent_repositories(spark, d):
@@ -132,9 +140,9 @@ def oracle_sql() -> dict[str, str]:
         "apply_changes": two + "select path, 'old' || path as content from o anti join (select path from g where change is not null) using (path) union all select path, 'new' || path from n semi join (select path from g where change in ('added', 'modified')) using (path)",
         "status_latest": "select identity, case when status = 'indexing' then 'indexfailed' else status end as status, last_updated, case when status = 'indexing' then indexing_percentage else last_attempted_percentage end as last_attempted_percentage from (select *, row_number() over (partition by identity order by last_updated desc, status, local_path, indexing_percentage) as r from codebases where identity is not null) where r = 1",
         "snapshot_options": "select identity, last_updated, status, nullif(last_value(request_splitter ignore nulls) over (partition by identity order by last_updated, status rows unbounded preceding), '') as request_splitter from (select distinct identity, last_updated, status, request_splitter from codebases)",
-        "snapshot_merge": "select distinct identity from codebases where length(identity) % 2 = 0 or length(identity) % 3 <> 0",
-        "cloud_reconcile": "select distinct identity from codebases where length(identity) % 4 <> 0",
-        "heal_zero": "select identity, case when m % 3 = 0 or m is null then 'remove' when m % 3 = 1 then 'keep' else 'heal' end as action from (select identity, max(total_chunks) as m from codebases where index_status is not null group by 1)",
+        "snapshot_merge": "select distinct identity from codebases where identity is not null and (identity in (select identity from codebases where status = 'indexed') or identity not in (select identity from codebases where status = 'indexfailed' and identity is not null))",
+        "cloud_reconcile": "select distinct identity from codebases where index_status = 'completed' and identity is not null",
+        "heal_zero": "with l as (select distinct identity from codebases where index_status = 'limit_reached'), v as (select project as identity, count(distinct vec_id) as n from vector_documents group by 1) select distinct identity, case when identity in (select identity from l) then 'keep' when n is null then 'remove' else 'heal' end as action from codebases left join v using (identity) where index_status is not null and identity is not null",
         "recent_repositories": "select identity, max(last_updated) as last_updated from codebases group by 1 order by 2 desc, 1 limit 5",
         "stream_tumbling": _TUMBLING,
         "stream_live": _TUMBLING,
