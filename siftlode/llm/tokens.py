@@ -8,8 +8,8 @@ written once; the distinct words among them are encoded in Python (vectorised by
 word. Each block then meets its own small dictionary in a co-grouped Arrow function, where ids are gathered by
 position with vector operations. Only block-sized groups are ever held, the positions of words are never shuffled,
 and of the vocabulary only its file, of a fixed size, is sent to the executors. A word in every block (a hot join key)
-is split by adaptive skew handling. Decoding joins (block of positions, id) rows with the id-to-piece table and puts
-the pieces together block by block, in time linear in the text.
+is split by adaptive skew handling. Decoding is one map: the id-to-piece table, of a fixed size, is joined where the ids
+are, in time linear in the text.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlode.llm.textkernel import bpe_words, row_ids, slices
+from siftlode.llm.textkernel import bpe_words, raw, row_ids, slices
 from siftlode.runtime import cut, pieces
 
 def default_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -122,27 +122,42 @@ def encode_corpus(docs: DataFrame, vocabulary: str | None = None, id_col: str =
     return made.select(F.col("doc").alias(id_col), "ids")
 
 
-def piece_table(spark, vocabulary: str | None = None) -> DataFrame:
-    """(id, piece): the pieces of a vocabulary in hexadecimal, as many rows as it has pieces, a fixed number."""
-    with open(vocabulary or default_vocabulary(), "rb") as f:
-        rows = [(rank, piece.hex()) for piece, rank in load_ranks(f.read()).items()]
-    return cut(spark.createDataFrame(rows, "id int, piece string"), "pieces")
+def piece_table(body: bytes) -> pa.Array:
+    """The piece of every id of a vocabulary, by position; one empty piece more stands for ids it lacks."""
+    ranks = load_ranks(body)
+    pieces = [b""] * (max(ranks.values(), default=-1) + 2)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return pa.array(pieces, pa.binary())
 
 
-def decode_corpus(coded: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", ids_col: str = "ids", block_ids: int = 10_000) -> DataFrame:
+def decode_corpus(coded: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", ids_col: str = "ids", block_ids: int = 500_000) -> DataFrame:
     """(id, text): the texts back from ids, by a join of positions with the id-to-piece table.
 
-    Positions go in blocks of ``block_ids``, so no group holds more than that many pieces, and blocks of one text meet
-    as strings. An empty or null array gives the empty text, an id that the vocabulary lacks nothing; repeated rows
-    count once, different arrays under one id each give a row. Bytes that are no UTF-8 become U+FFFD.
+    The table has a fixed size and goes along with the tasks, where its key is its position: the join is a gather, in
+    parts of about ``block_ids`` ids, and no position is shuffled. Each row is decoded for itself. An empty or null
+    array gives the empty text, an id that the vocabulary lacks nothing. Bytes that are no UTF-8 become U+FFFD.
     """
-    none = F.array().cast("array<int>")
-    base = coded.select(F.col(id_col).alias("doc"), F.coalesce(F.col(ids_col), none).alias("ids")).withColumn("version", F.xxhash64("ids"))
-    pos = base.select("doc", "version", F.posexplode("ids").alias("pos", "id"))
-    pieced = pos.join(piece_table(coded.sparkSession, vocabulary), "id")
-    block = (F.col("pos") / block_ids).cast("int")
-    run = lambda rows: F.array_join(F.transform(F.array_sort(rows), lambda x: x["piece"]), "")
-    blocks = pieced.groupBy("doc", "version", block.alias("pos")).agg(run(F.collect_set(F.struct("pos", "piece"))).alias("piece"))
-    texts = blocks.groupBy("doc", "version").agg(run(F.collect_list(F.struct("pos", "piece"))).alias("hex"))
-    all_ = base.select("doc", "version").distinct().join(texts, ["doc", "version"], "left")
-    return all_.select(F.col("doc").alias(id_col), F.coalesce(F.decode(F.unhex("hex"), "UTF-8"), F.lit("")).alias("text"))
+    with open(vocabulary or default_vocabulary(), "rb") as f:
+        shared = coded.sparkSession.sparkContext.broadcast(f.read())
+    kind = dict(coded.dtypes)[id_col]
+    base = coded.select(F.col(id_col).alias("doc"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
+
+    def run(batches):
+        pieces = piece_table(shared.value)
+        none = len(pieces) - 1
+        for batch in batches:
+            lists = batch.column(1)
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            part = np.cumsum(size) // block_ids
+            cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(lists)]])) if len(lists) else np.zeros(1, int)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                ids = lists.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                ids[(ids < 0) | (ids > none)] = none
+                ends = pa.array(np.concatenate([[0], np.cumsum(size[a:b])]), pa.int32())
+                joined = pc.binary_join(pa.ListArray.from_arrays(ends, pieces.take(pa.array(ids))), b"")
+                body, off = raw(joined)
+                texts = pa.Array.from_buffers(pa.string(), b - a, [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(body)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), texts], ["doc", "text"])
+
+    return base.mapInArrow(run, f"doc {kind}, text string").withColumnRenamed("doc", id_col)
