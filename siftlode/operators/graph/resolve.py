@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlode.functions.text import common_prefix, is_test_name, simple_name
+from siftlode.runtime import cut
 
 MAX_CANDIDATES = 256
 #: The confidence of each strategy.
@@ -52,18 +53,21 @@ def resolve_calls(calls: DataFrame, registry: DataFrame) -> DataFrame:
     base = base.withColumn("whole", F.try_element_at(imports, F.col("callee"))).withColumn("via", F.try_element_at(imports, F.col("prefix")))
     any_import = F.size(F.filter("import_vals", lambda v: v != "")) > 0
 
-    def exact(name: Column, strategy: str, priority: int) -> DataFrame:
-        rows = base.select("project", "call_id", "module_qn", name.alias("qualified_name")).where("qualified_name is not null")
-        return rows.join(reg.select("project", "qualified_name", "seq"), ["project", "qualified_name"], "left_semi").select("call_id", "qualified_name", F.lit(strategy).alias("strategy"), F.lit(CONFIDENCE[strategy]).alias("confidence"), F.lit(1).cast("long").alias("candidate_count"), F.lit(priority).alias("priority"))
+    base = cut(base, "calls")  # read by every strategy
 
-    direct = [
+    def exact(name: Column, strategy: str, priority: int) -> Column:
+        return F.struct(name.alias("qualified_name"), F.lit(strategy).alias("strategy"), F.lit(CONFIDENCE[strategy]).alias("confidence"), F.lit(1).cast("long").alias("candidate_count"), F.lit(priority).alias("priority"))
+
+    whole_names = F.array(
         exact(F.coalesce(F.concat("via", F.lit("."), "rest"), F.concat("whole", F.lit("."), "simple")), "import_map", 1),
         exact(F.when(F.col("rest").isNull(), F.col("whole")), "import_map", 1),
         exact(F.concat("module_qn", F.lit("."), "callee"), "same_module", 3),
         exact(F.concat("module_qn", F.lit("."), "rest"), "same_module", 3),
-    ]
+    )
+    direct = base.select("project", "call_id", F.explode(whole_names).alias("x")).select("project", "call_id", "x.*").where("qualified_name is not null")
+    direct = direct.join(reg.select("project", "qualified_name"), ["project", "qualified_name"], "left_semi").select("call_id", "qualified_name", "strategy", "confidence", "candidate_count", "priority")
     named = base.join(byname, ["project", "simple"]).select("call_id", "callee", "module_qn", "import_vals", "via", "rest", any_import.alias("any_import"), "qualified_name", "seq", "n_all")
-    named = named.withColumn("reach", _reachable(F.col("import_vals"), F.col("qualified_name"))).withColumn("score", _score(F.col("qualified_name"), F.col("module_qn")))
+    named = cut(named.withColumn("reach", _reachable(F.col("import_vals"), F.col("qualified_name"))).withColumn("score", _score(F.col("qualified_name"), F.col("module_qn"))), "named")
     per = Window.partitionBy("call_id")
     via = named.where(F.col("via").isNotNull() & F.col("rest").isNotNull() & F.col("qualified_name").startswith(F.concat("via", F.lit("."))))
     via = via.withColumn("k", F.row_number().over(per.orderBy(F.desc("score"), "seq"))).where("k = 1").select("call_id", "qualified_name", F.lit("import_map_suffix").alias("strategy"), F.lit(CONFIDENCE["import_map_suffix"]).alias("confidence"), F.lit(1).cast("long").alias("candidate_count"), F.lit(2).alias("priority"))
@@ -75,9 +79,7 @@ def resolve_calls(calls: DataFrame, registry: DataFrame) -> DataFrame:
     n = F.when(F.col("n_reach") > 1, F.col("n_reach")).otherwise(F.col("n_all"))
     conf = F.when((F.col("n_reach") == 0) & F.col("any_import"), CONFIDENCE["suffix_match"] / 2).otherwise(CONFIDENCE["suffix_match"]) * F.least(F.lit(1.0), F.lit(5.0) / n)
     many = many.select("call_id", "qualified_name", F.lit("suffix_match").alias("strategy"), conf.alias("confidence"), n.alias("candidate_count"), F.lit(6).alias("priority"))
-    found = via.unionByName(suffix).unionByName(single).unionByName(many)
-    for d in direct:
-        found = found.unionByName(d)
+    found = via.unionByName(suffix).unionByName(single).unionByName(many).unionByName(direct)
     best = found.groupBy("call_id").agg(F.min_by(F.struct("qualified_name", "strategy", "confidence", "candidate_count"), F.struct("priority", "qualified_name")).alias("b"))
     out = calls.select("call_id").join(best.select("call_id", "b.*"), "call_id", "left")
     return out.select("call_id", F.coalesce("qualified_name", F.lit("")).alias("qualified_name"), F.coalesce("strategy", F.lit("")).alias("strategy"), F.round(F.coalesce("confidence", F.lit(0.0)), 6).alias("confidence"), F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"))
